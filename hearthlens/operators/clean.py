@@ -121,7 +121,7 @@ class ImputeStats:
         """Long form (column, kind, value) for saving next to the data."""
         rows = [(c, "median", json.dumps(v)) for c, v in self.medians.items()]
         rows += [(c, "mode", json.dumps(v)) for c, v in self.modes.items()]
-        return spark.createDataFrame(rows, "column string, kind string, value string")
+        return spark.createDataFrame(rows, "column_name string, kind string, value string")
 
 
 def median_exprs(cols: Sequence[str], approx: bool = False, accuracy: int = 10000) -> list[Column]:
