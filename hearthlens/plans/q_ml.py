@@ -1 +1,349 @@
-"""q_ml"""
+"""Model training / evaluation / scoring queries."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from hearthlens.functions import features as fx
+from hearthlens.operators import ml
+from hearthlens.operators import stats as ST
+from hearthlens.plans import common, model as MD
+from hearthlens.plans.oracle import grade_sql, with_clean
+from hearthlens.plans.q_clean import FORMULA_SCORE, formula_score
+from hearthlens.plans.q_select import SPLIT_SQL
+from hearthlens.plans.registry import register
+from hearthlens.session import ensure_checkpoint_dir
+from hearthlens.sources.tables import DWELLING_KEY
+
+K = ", ".join(DWELLING_KEY)
+
+
+@register("M01", "random_split", with_clean(f"SELECT {K}, {SPLIT_SQL} AS split FROM clean"))
+def random_split(spark, sf):
+    return common.clean(spark, sf).select(*DWELLING_KEY, ml.split_label(DWELLING_KEY).alias("split"))
+
+
+def _train_val(frame):
+    return frame.where(F.col("split") != "test")
+
+
+@register("M02", "gbt_regressor")
+def gbt_regressor(spark, sf):
+    """Boosted trees on the log target; validation rows drive the stopping
+    tolerance and are not trained on; metrics on the original scale."""
+    frame = MD.model_frame(spark, sf)
+    model = MD.fit_gbt(_train_val(frame))
+    return MD.split_metrics(MD.predict_original(model, frame))
+
+
+@register("M03", "gbt_classifier")
+def gbt_classifier(spark, sf):
+    frame = MD.model_frame(spark, sf)
+    tr = ml.class_weight_column(frame.where(F.col("split") == "train"), "is_retrofitted", "w")
+    learner = ml.gbt_classifier("clf_label", weight="w", max_iter=20, max_depth=4, max_bins=MD.MAX_BINS)
+    feats = [c for c in MD.NUM_FEATURES if c not in ("HasRoofInsulation", "HasWallInsulation", "HasSolarWaterHeating")]
+    model = MD.regression_pipeline(learner, num=feats).fit(tr)
+    from pyspark.ml.functions import vector_to_array
+    te = (model.transform(frame.where(F.col("split") == "test"))
+          .withColumn("score", vector_to_array("probability")[1])
+          .withColumn("label01", F.col("is_retrofitted").cast("int")))
+    auc = ml.roc_auc(te, "label01", "score").select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
+    ap = ml.average_precision(te, "label01", "score").select(F.lit("average_precision").alias("metric"),
+                                                            F.col("average_precision").alias("value"))
+    return auc.unionByName(ap)
+
+
+@register("M04", "forest_regressor")
+def forest_regressor(spark, sf):
+    frame = MD.model_frame(spark, sf)
+    learner = ml.forest_regressor("label", trees=40, depth=10, min_leaf=10, max_bins=MD.MAX_BINS)
+    model = MD.regression_pipeline(learner).fit(frame.where(F.col("split") == "train"))
+    return MD.split_metrics(MD.predict_original(model, frame))
+
+
+@register("M05", "ridge_pipeline")
+def ridge_pipeline(spark, sf):
+    """Median impute -> ordinal encode -> scale -> ridge (alpha = 1 in the
+    sklearn scale, i.e. regParam = alpha / n)."""
+    frame = MD.model_frame(spark, sf)
+    train = frame.where(F.col("split") == "train")
+    n = train.count()
+    model = MD.regression_pipeline(ml.ridge("label", alpha=1.0, n_rows=n), scale=True).fit(train)
+    return MD.split_metrics(MD.predict_original(model, frame))
+
+
+@register("M06", "gbt_alternative")
+def gbt_alternative(spark, sf):
+    """A second booster setting for comparison (deeper, slower learning rate)."""
+    frame = MD.model_frame(spark, sf)
+    learner = ml.gbt_regressor("label", max_iter=30, max_depth=6, step=0.05, max_bins=MD.MAX_BINS)
+    model = MD.regression_pipeline(learner).fit(frame.where(F.col("split") == "train"))
+    return MD.split_metrics(MD.predict_original(model, frame))
+
+
+@register("M07", "random_search")
+def random_search(spark, sf, draws: int = 6, folds: int = 2, seed: int = 42):
+    """Seeded random draws from a parameter grid, scored by 2-fold cross
+    validation (folds from the key hash); fits run in parallel tasks."""
+    frame = MD.model_frame(spark, sf)
+    train = frame.where(F.col("split") == "train").withColumn("cv_fold", (F.col("fold") % folds).cast("int"))
+    learner = ml.gbt_regressor("label", max_iter=15, max_bins=MD.MAX_BINS)
+    pipe = MD.regression_pipeline(learner)
+    rng = random.Random(seed)
+    space = {"maxDepth": [3, 4, 5, 6], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.85, 1.0]}
+    maps = []
+    for _ in range(draws):
+        maps.append({learner.getParam(k): rng.choice(v) for k, v in space.items()})
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol="label", metricName="r2"),
+                        foldCol="cv_fold", numFolds=folds, parallelism=4, seed=seed)
+    res = cv.fit(train)
+    rows = [(i, int(m[learner.getParam("maxDepth")]), float(m[learner.getParam("stepSize")]),
+             float(m[learner.getParam("subsamplingRate")]), float(s)) for i, (m, s) in enumerate(zip(maps, res.avgMetrics))]
+    return spark.createDataFrame(rows, "draw int, max_depth int, step_size double, subsampling_rate double, cv_r2 double")
+
+
+@register("M08", "kfold_cv")
+def kfold_cv(spark, sf, k: int = 5):
+    """5-fold CV on training rows; R2 on the original scale per fold, then
+    mean and population std (ddof 0) across folds."""
+    frame = MD.model_frame(spark, sf)
+    train = frame.where(F.col("split") == "train")
+    learner = ml.gbt_regressor("label", max_iter=15, max_depth=4, max_bins=MD.MAX_BINS)
+    out = []
+    for f in range(k):
+        model = MD.regression_pipeline(learner).fit(train.where(F.col("fold") != f))
+        scored = MD.predict_original(model, train.where(F.col("fold") == f))
+        r2 = ml.regression_metrics(scored, "BerRating", "pred_ber").first()["r2"]
+        out.append((f, float(r2)))
+    arr = np.array([r for _, r in out])
+    rows = out + [(-1, float(arr.mean())), (-2, float(arr.std()))]
+    return spark.createDataFrame(rows, "fold int, r2 double")
+
+
+SCORE_SQL = f"({FORMULA_SCORE})"
+
+
+@register("M09", "regression_metrics", with_clean(
+    f"SELECT split, count(*) AS n, round(1e0 - sum((BerRating - s) * (BerRating - s)) / (sum(BerRating * BerRating) - sum(BerRating) * sum(BerRating) / count(*)), 6) AS r2, "
+    "round(sqrt(sum((BerRating - s) * (BerRating - s)) / count(*)), 6) AS rmse, round(avg(abs(BerRating - s)), 6) AS mae, "
+    "round(avg(abs(BerRating - s) / (abs(BerRating) + 1e-6)) * 100e0, 6) AS mape_pct "
+    f"FROM (SELECT *, {SPLIT_SQL} AS split, {SCORE_SQL} AS s FROM clean) GROUP BY split"))
+def regression_metrics(spark, sf):
+    d = common.clean(spark, sf).withColumns({"split": ml.split_label(DWELLING_KEY), "s": formula_score(None)})
+    m = ml.regression_metrics(d, "BerRating", "s", group=["split"])
+    return m.select("split", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "mae", "mape_pct")])
+
+
+def clf_score():
+    return F.lit(1.0) / (F.lit(1.0) + F.col("UValueWall") + F.col("UValueRoof"))
+
+CLF_SCORE_SQL = "(1e0 / (1e0 + UValueWall + UValueRoof))"
+
+
+def _clf_frame(spark, sf):
+    return common.clean(spark, sf).select(F.col("is_retrofitted").cast("int").alias("label"), clf_score().alias("score"))
+
+
+@register("M10", "classification_metrics", with_clean(
+    "SELECT round(sum(pos * (cum_neg - neg + neg / 2e0)) / (sum(pos) * sum(neg)), 9) AS auc FROM "
+    "(SELECT score, pos, neg, sum(neg) OVER (ORDER BY score) AS cum_neg FROM "
+    f"(SELECT {CLF_SCORE_SQL} AS score, sum(is_retrofitted) AS pos, sum(1 - is_retrofitted) AS neg FROM clean GROUP BY 1)) "
+    "UNION ALL SELECT round(sum(pos * tp / (tp + fp)) / sum(pos), 9) FROM "
+    "(SELECT score, pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM "
+    f"(SELECT {CLF_SCORE_SQL} AS score, sum(is_retrofitted) AS pos, sum(1 - is_retrofitted) AS neg FROM clean GROUP BY 1))"))
+def classification_metrics(spark, sf):
+    """ROC-AUC (rank sums, ties half) and average precision over a
+    deterministic score of the retrofit label."""
+    d = _clf_frame(spark, sf)
+    auc = ml.roc_auc(d).select(F.round("auc", 9).alias("auc"))
+    ap = ml.average_precision(d).select(F.round("average_precision", 9).alias("auc"))
+    return auc.unionByName(ap)
+
+
+@register("M11", "roc_pr_points", with_clean(
+    "SELECT score, round(fp / N, 9) AS fpr, round(tp / P, 9) AS tpr, round(tp / (tp + fp), 9) AS precision FROM "
+    "(SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, "
+    "sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM "
+    f"(SELECT {CLF_SCORE_SQL} AS score, sum(is_retrofitted) AS pos, sum(1 - is_retrofitted) AS neg FROM clean GROUP BY 1))"))
+def roc_pr_points(spark, sf):
+    d = _clf_frame(spark, sf)
+    roc = ml.roc_points(d)
+    pr = ml.pr_points(d)
+    j = roc.join(pr.select("score", "precision"), "score")
+    return j.select("score", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"),
+                    F.round("precision", 9).alias("precision"))
+
+
+@register("M12", "per_class_f1", with_clean(
+    "SELECT cls, CAST(tp AS BIGINT) AS tp, CAST(support AS BIGINT) AS support, CAST(predicted AS BIGINT) AS predicted, "
+    "round(precision, 9) AS precision, round(recall, 9) AS recall, "
+    "round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0e0 END, 9) AS f1 FROM p",
+    "cm AS (SELECT actual, predicted, count(*) AS n FROM "
+    f"(SELECT {grade_sql('BerRating')} AS actual, {grade_sql(SCORE_SQL)} AS predicted FROM clean) GROUP BY 1, 2)",
+    "cls AS (SELECT actual AS cls FROM cm UNION SELECT predicted FROM cm)",
+    "t AS (SELECT cls, coalesce((SELECT sum(n) FROM cm WHERE actual = cls AND predicted = cls), 0) AS tp, "
+    "coalesce((SELECT sum(n) FROM cm WHERE actual = cls), 0) AS support, coalesce((SELECT sum(n) FROM cm WHERE predicted = cls), 0) AS predicted FROM cls)",
+    "p AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0e0 END AS precision, "
+    "CASE WHEN support > 0 THEN tp / support ELSE 0e0 END AS recall FROM t)"))
+def per_class_f1(spark, sf):
+    # score first, grade the score column (keeps the CASE chain small)
+    d = common.clean(spark, sf).withColumn("s", formula_score(None)).select(
+        fx.rating_grade("BerRating").alias("actual"), fx.rating_grade("s").alias("predicted"))
+    f = ml.per_class_f1(d, "actual", "predicted")
+    return f.select("cls", "tp", "support", "predicted", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register("M13", "feature_importance")
+def feature_importance(spark, sf):
+    """Gain importance (Spark) and split counts from the saved tree nodes."""
+    frame = MD.model_frame(spark, sf)
+    model = MD.fit_gbt(_train_val(frame))
+    gbt = model.stages[-1]
+    assembler = [s for s in model.stages if s.__class__.__name__ == "VectorAssembler"][0]
+    names = assembler.getInputCols()
+    imp = gbt.featureImportances.toArray()
+    splits = np.zeros(len(names))
+    for tree in gbt.trees:
+        _count_splits(tree._call_java("rootNode"), splits)
+    rows = [(n, float(imp[i]), int(splits[i])) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "feature string, gain_importance double, split_count long")
+    return df.withColumn("rank", F.rank().over(Window.orderBy(F.desc("gain_importance"))))
+
+
+def _count_splits(node, acc):
+    if node.getClass().getSimpleName() == "InternalNode":
+        acc[node.split().featureIndex()] += 1
+        _count_splits(node.leftChild(), acc)
+        _count_splits(node.rightChild(), acc)
+
+
+@register("M14", "learning_curve")
+def learning_curve(spark, sf, sizes=(10, 20, 35, 50, 65, 80, 90, 100), folds: int = 3):
+    """Metric vs training size: nested hash samples (bucket < size%) x 3 folds."""
+    frame = MD.model_frame(spark, sf)
+    train = frame.where(F.col("split") != "test").withColumn("b", ml.split_bucket(DWELLING_KEY[::-1]))
+    rows = []
+    for f in range(folds):
+        val = train.where(F.col("fold") % folds == f)
+        fit_pool = train.where(F.col("fold") % folds != f)
+        for s in sizes:
+            part = fit_pool.where(F.col("b") < s)
+            n = part.count()
+            model = MD.regression_pipeline(ml.ridge("label", 1.0, n), scale=True).fit(part)
+            r2 = ml.regression_metrics(MD.predict_original(model, val), "BerRating", "pred_ber").first()["r2"]
+            rows.append((int(s), f, int(n), float(r2)))
+    return spark.createDataFrame(rows, "size_pct int, fold int, train_rows long, r2 double")
+
+
+@register("M15", "loss_curve")
+def loss_curve(spark, sf):
+    frame = MD.model_frame(spark, sf)
+    model = MD.fit_gbt(_train_val(frame), use_validation=False)
+    gbt = model.stages[-1]
+    prepared = PipelineModel(model.stages[:-1]).transform(frame.where(F.col("split") == "test"))
+    losses = gbt.evaluateEachIteration(prepared, "squared")
+    return spark.createDataFrame([(i + 1, float(np.sqrt(l))) for i, l in enumerate(losses)], "round int, rmse double")
+
+
+@register("M16", "coefficient_table")
+def coefficient_table(spark, sf):
+    frame = MD.model_frame(spark, sf)
+    train = frame.where(F.col("split") == "train")
+    model = MD.regression_pipeline(ml.ridge("label", 1.0, train.count()), scale=True).fit(train)
+    names = [s for s in model.stages if s.__class__.__name__ == "VectorAssembler"][0].getInputCols()
+    coef = model.stages[-1].coefficients.toArray()
+    rows = [(n.replace("__idx", "").replace("__imp", ""), float(c)) for n, c in zip(names, coef)]
+    df = spark.createDataFrame(rows, "feature string, coefficient double")
+    return df.withColumn("rank", F.rank().over(Window.orderBy(F.desc(F.abs("coefficient")))))
+
+
+@register("M17", "representation_compare")
+def representation_compare(spark, sf):
+    """Accuracy of a logistic model on original vs PCA-projected features
+    (class = dwelling type), hold-out on the test split."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from hearthlens.plans.q_stats import PCA_COLS
+
+    frame = MD.model_frame(spark, sf)
+    d = ST.complete_rows(common.clean(spark, sf), PCA_COLS).withColumn("split", ml.split_label(DWELLING_KEY))
+    _, _, fit = ST.pca(d.where(F.col("split") == "train"), PCA_COLS)
+    d = ST.pca_scores(d, fit, 5)
+    d = StringIndexer(inputCol="DwellingTypeDescr", outputCol="y").fit(d).transform(d)
+    ev = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
+    rows = []
+    for rep, cols in (("original", PCA_COLS), ("pca5", [f"pc{i}" for i in range(1, 6)])):
+        v = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
+        tr, te = v.where(F.col("split") == "train"), v.where(F.col("split") == "test")
+        for name, est in (("logistic", LogisticRegression(labelCol="y", maxIter=50)),
+                          ("forest", RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=8, seed=42))):
+            acc = ev.evaluate(est.fit(tr).transform(te))
+            rows.append((rep, name, float(acc)))
+    del frame
+    return spark.createDataFrame(rows, "representation string, model string, accuracy double")
+
+
+@register("M18", "imputation_compare")
+def imputation_compare(spark, sf):
+    """Same forest on two imputations of the supplementary-heat fraction
+    (median vs regression fill): MSE and R2 on the test split."""
+    from hearthlens.operators import clean as C
+    from hearthlens.plans.q_clean import fill_by_regression
+    frame = MD.model_frame(spark, sf, checkpoint=False).drop("HSSupplHeatFraction")
+    med = C.fill_median(common.clean(spark, sf), ["HSSupplHeatFraction"]).select(*DWELLING_KEY, "HSSupplHeatFraction")
+    reg = fill_by_regression(spark, sf)
+    rows = []
+    for name, imp in (("median", med), ("regression", reg)):
+        d = frame.join(imp, DWELLING_KEY)
+        learner = ml.forest_regressor("label", trees=20, depth=8, max_bins=MD.MAX_BINS)
+        model = MD.regression_pipeline(learner).fit(d.where(F.col("split") == "train"))
+        m = ml.regression_metrics(MD.predict_original(model, d.where(F.col("split") == "test")), "BerRating", "pred_ber").first()
+        rows.append((name, float(m["rmse"]) ** 2, float(m["r2"])))
+    return spark.createDataFrame(rows, "imputation string, mse double, r2 double")
+
+
+@register("M19", "residual_table", with_clean(
+    f"SELECT {K}, {SCORE_SQL} AS predicted, BerRating - {SCORE_SQL} AS residual FROM clean"))
+def residual_table(spark, sf):
+    s = formula_score(None)
+    return common.clean(spark, sf).select(*DWELLING_KEY, s.alias("predicted"), (F.col("BerRating") - s).alias("residual"))
+
+
+@register("M20", "save_load_model")
+def save_load_model(spark, sf):
+    """Fit, save to the shared checkpoint folder, load back, re-score:
+    predictions must be identical (max |difference| reported)."""
+    import uuid
+    frame = MD.model_frame(spark, sf)
+    train = frame.where(F.col("split") == "train")
+    model = MD.regression_pipeline(ml.ridge("label", 1.0, train.count()), scale=True).fit(train)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/ridge-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    back = PipelineModel.load(path)
+    a = model.transform(frame).select(*DWELLING_KEY, F.col("prediction").alias("p1"))
+    b = back.transform(frame).select(*DWELLING_KEY, F.col("prediction").alias("p2"))
+    return a.join(b, DWELLING_KEY).agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
+
+
+@register("M21", "batch_score")
+def batch_score(spark, sf):
+    """Encode -> predict -> expm1 -> clip for every row of the table."""
+    frame = MD.model_frame(spark, sf)
+    model = MD.fit_gbt(_train_val(frame))
+    return MD.predict_original(model, frame).select(*DWELLING_KEY, "BerRating", "pred_ber")
+
+
+@register("M22", "class_weight", with_clean(
+    f"SELECT {K}, is_retrofitted, CASE WHEN is_retrofitted = 1 THEN "
+    "(SELECT (count(*) - sum(is_retrofitted)) / greatest(sum(is_retrofitted), 1) FROM clean) ELSE 1e0 END AS weight FROM clean"))
+def class_weight(spark, sf):
+    d = common.clean(spark, sf).select(*DWELLING_KEY, "is_retrofitted")
+    return ml.class_weight_column(d, "is_retrofitted", "weight")

@@ -204,8 +204,8 @@ def band_counts(spark, sf):
     "SELECT actual, predicted, n, n / sum(n) OVER (PARTITION BY actual) AS row_share FROM "
     f"(SELECT {grade_sql('BerRating')} AS actual, {grade_sql('(' + FORMULA_SCORE + ')')} AS predicted, count(*) AS n FROM clean GROUP BY 1, 2)"))
 def confusion_matrix(spark, sf):
-    d = common.clean(spark, sf).select(fx.rating_grade("BerRating").alias("actual"),
-                                       fx.rating_grade(formula_score(None)).alias("predicted"))
+    d = common.clean(spark, sf).withColumn("s", formula_score(None)).select(
+        fx.rating_grade("BerRating").alias("actual"), fx.rating_grade("s").alias("predicted"))
     return ml.confusion_matrix(d, "actual", "predicted")
 
 
