@@ -106,19 +106,15 @@ def quantiles_table(df: DataFrame, value: str, probs: Sequence[float], approx: b
 # G06 - G09 -----------------------------------------------------------------
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson r for every pair (a < b by list position), pairwise-complete
-    rows, all pairs in ONE aggregate pass (p(p-1)/2 ``corr`` buffers)."""
+    rows (the pandas rule), from two passes of plain sums; the p x p result
+    is a long table (col_a, col_b, pos_a, pos_b, r)."""
+    from hearthlens.operators.stats import pairwise_moments
+
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    exprs = [F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"r{i}_{j}") for i, j in pairs]
-    out = None
-    for start in range(0, len(exprs), 120):
-        chunk = pairs[start:start + 120]
-        wide = df.agg(*exprs[start:start + 120])
-        st = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), F.lit(i).alias("pos_a"),
-                       F.lit(j).alias("pos_b"), F.col(f"r{i}_{j}").alias("r")) for i, j in chunk]
-        long = wide.select(F.explode(F.array(*st)).alias("s")).select("s.*")
-        out = long if out is None else out.unionByName(long)
-    return out
+    _, _, corr = pairwise_moments(df, cols)
+    rows = [(cols[i], cols[j], i, j, None if corr[i, j] != corr[i, j] else float(corr[i, j]))
+            for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, pos_a int, pos_b int, r double")
 
 
 def correlated_pairs(corr: DataFrame, limit: float = 0.7, inclusive: bool = False) -> DataFrame:

@@ -29,23 +29,69 @@ def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.where(cond)
 
 
-def covariance_matrix(df: DataFrame, cols: Sequence[str], complete: bool = True):
-    """(n, means, population covariance) in one pass with the numerically
-    stable ``covar_pop`` aggregates (p(p+1)/2 buffers)."""
+def pairwise_moments(df: DataFrame, cols: Sequence[str]):
+    """Pairwise-complete centred moments of every column pair, in two passes
+    of plain sums (codegen-friendly; ``corr``/``covar`` buffers are far
+    slower when there are hundreds of them).
+
+    Pass 1: mean and non-null count per column.  Pass 2: sums of centred
+    cross products; pairs where a column has nulls also get masked counts
+    and masked first/second moments.  Returns (n, cov, corr) p x p arrays
+    with population covariance over the rows where both columns are set."""
     cols = list(cols)
-    d = complete_rows(df, cols) if complete else df
     p = len(cols)
-    exprs = [F.count(F.lit(1)).alias("n")] + [F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]
+    xs = [F.col(c).cast("double") for c in cols]
+    r1 = df.agg(F.count(F.lit(1)).alias("N"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
+                *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
+    N = r1["N"]
+    m = [r1[f"m{i}"] or 0.0 for i in range(p)]
+    nullable = [r1[f"n{i}"] != N for i in range(p)]
+    d = [xs[i] - F.lit(float(m[i])) for i in range(p)]
+    exprs = [F.sum(d[i]).alias(f"s{i}") for i in range(p)] + [F.sum(d[i] * d[i]).alias(f"q{i}") for i in range(p)]
     for i in range(p):
-        for j in range(i, p):
-            exprs.append(F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c{i}_{j}"))
-    row = d.agg(*exprs).first()
+        for j in range(i + 1, p):
+            if nullable[i] or nullable[j]:
+                both = xs[i].isNotNull() & xs[j].isNotNull()
+                exprs += [F.count_if(both).alias(f"n{i}_{j}"),
+                          F.sum(F.when(both, d[i])).alias(f"a{i}_{j}"), F.sum(F.when(both, d[j])).alias(f"b{i}_{j}"),
+                          F.sum(F.when(both, d[i] * d[i])).alias(f"aa{i}_{j}"),
+                          F.sum(F.when(both, d[j] * d[j])).alias(f"bb{i}_{j}")]
+            exprs.append(F.sum(d[i] * d[j]).alias(f"x{i}_{j}"))
+    r2 = df.agg(*exprs).first()
+    n = np.zeros((p, p))
     cov = np.zeros((p, p))
+    corr = np.eye(p)
     for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    means = np.array([row[f"m{i}"] or 0.0 for i in range(p)])
-    return int(row["n"]), means, cov
+        ni = r1[f"n{i}"]
+        n[i, i] = ni
+        cov[i, i] = ((r2[f"q{i}"] or 0.0) - (r2[f"s{i}"] or 0.0) ** 2 / ni) / ni if ni else float("nan")
+    for i in range(p):
+        for j in range(i + 1, p):
+            if nullable[i] or nullable[j]:
+                nij = r2[f"n{i}_{j}"]
+                a, b = r2[f"a{i}_{j}"] or 0.0, r2[f"b{i}_{j}"] or 0.0
+                va = ((r2[f"aa{i}_{j}"] or 0.0) - a * a / nij) / nij if nij else float("nan")
+                vb = ((r2[f"bb{i}_{j}"] or 0.0) - b * b / nij) / nij if nij else float("nan")
+            else:
+                nij = N
+                a, b = r2[f"s{i}"] or 0.0, r2[f"s{j}"] or 0.0
+                va, vb = cov[i, i], cov[j, j]
+            c = ((r2[f"x{i}_{j}"] or 0.0) - a * b / nij) / nij if nij else float("nan")
+            n[i, j] = n[j, i] = nij
+            cov[i, j] = cov[j, i] = c
+            den = math.sqrt(va * vb) if va > 0 and vb > 0 else 0.0
+            corr[i, j] = corr[j, i] = c / den if den > 0 else float("nan")
+    return n, cov, corr
+
+
+def covariance_matrix(df: DataFrame, cols: Sequence[str], complete: bool = True):
+    """(n, means, population covariance) on complete rows (two passes of sums)."""
+    cols = list(cols)
+    d = complete_rows(df, cols) if complete else df
+    r = d.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    means = np.array([r[f"m{i}"] or 0.0 for i in range(len(cols))])
+    n, cov, _ = pairwise_moments(d, cols)
+    return int(n[0, 0]) if len(cols) else 0, means, cov
 
 
 def correlation_from_cov(cov: np.ndarray) -> np.ndarray:
