@@ -57,3 +57,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``hearthlens`` importable on executors (the ``--py-files``
+    mechanism): zip the package once per application and ``addPyFile`` it.
+    Needed only by the Python-on-executor path (Tree SHAP)."""
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    fd, zpath = tempfile.mkstemp(prefix="hearthlens-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in root.rglob("*"):
+            if p.is_file() and "__pycache__" not in p.parts:
+                z.write(p, Path("hearthlens") / p.relative_to(root))
+    spark.sparkContext.addPyFile(zpath)
+    _SHIPPED.add(app)
