@@ -40,10 +40,14 @@ def dwellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # Dimension side first (orders x customer x nation), then the fact table.
     # nation is a fixed 25-row code table: a broadcast with a fixed size bound.
+    # The fact side (lineitem, and everything joined to it) is never a
+    # broadcast build side: the static size estimate of a pruned Parquet scan
+    # can fall under the broadcast threshold; the shuffle_merge hint pins
+    # shuffle joins (AQE still splits skewed keys and coalesces partitions).
     cust_n = cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey)
     ord_c = orders.join(cust_n, orders.o_custkey == cust_n.c_custkey)
-    j = (li.join(ord_c, li.l_orderkey == ord_c.o_orderkey)
-           .join(part, li.l_partkey == part.p_partkey))
+    j1 = li.hint("shuffle_merge").join(ord_c, li.l_orderkey == ord_c.o_orderkey)
+    j = j1.hint("shuffle_merge").join(part, j1.l_partkey == part.p_partkey)
 
     ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     qty, psize = F.col("l_quantity"), F.col("p_size")
