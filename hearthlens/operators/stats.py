@@ -150,8 +150,9 @@ def ks_pvalue(D: float, n1: int, n2: int) -> float:
 def eta_squared(df: DataFrame, cats: Sequence[str], measures: Sequence[str], skip_singletons: bool = True) -> DataFrame:
     """eta^2 = SS_between / SS_total for every (category, measure) pair.
 
-    Per-group counts and sums come from one aggregate per category column
-    (map-side partials); SS_total from one global aggregate.  With
+    One pass for the global moments; one pass for per-group counts and means
+    of every (category column, value): rows emit one record per category
+    column (narrow explode) and a single hash aggregate groups them.  With
     ``skip_singletons`` groups of size <= 1 are left out of SS_between."""
     spark = df.sparkSession
     glob_exprs = []
@@ -159,24 +160,24 @@ def eta_squared(df: DataFrame, cats: Sequence[str], measures: Sequence[str], ski
         x = F.col(m).cast("double")
         glob_exprs += [F.avg(x).alias(f"mean__{m}"), (F.var_pop(x) * F.count(x)).alias(f"sst__{m}")]
     g = df.agg(*glob_exprs).first()
+    recs = F.array(*[F.struct(F.lit(c).alias("category"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("v"))
+                     for c in cats])
+    aggs = []
+    for m in measures:
+        x = F.col(m).cast("double")
+        aggs += [F.count(x).alias(f"n__{m}"), F.avg(x).alias(f"a__{m}")]
+    per = df.select(F.explode(recs).alias("r"), *measures).groupBy("r.category", "r.v").agg(*aggs)
+    ss = []
+    for m in measures:
+        keep = F.col(f"n__{m}") > (1 if skip_singletons else 0)
+        ss.append(F.sum(F.when(keep, F.col(f"n__{m}") * (F.col(f"a__{m}") - F.lit(g[f"mean__{m}"])) ** 2)
+                        .otherwise(0.0)).alias(m))
+    rows = {r["category"]: r for r in per.groupBy("category").agg(*ss).collect()}  # one row per category column
     out = []
     for c in cats:
-        key = F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("__v")
-        aggs = []
-        for m in measures:
-            x = F.col(m).cast("double")
-            aggs += [F.count(x).alias(f"n__{m}"), F.avg(x).alias(f"a__{m}")]
-        per = df.groupBy(key).agg(*aggs)
-        ss = []
-        for m in measures:
-            gm = g[f"mean__{m}"]
-            keep = F.col(f"n__{m}") > (1 if skip_singletons else 0)
-            ss.append(F.sum(F.when(keep, F.col(f"n__{m}") * (F.col(f"a__{m}") - F.lit(gm)) ** 2).otherwise(0.0)).alias(m))
-        row = per.agg(*ss).first()
         for m in measures:
             sst = g[f"sst__{m}"]
-            eta = (row[m] / sst) if sst and sst > 0 else 0.0
-            out.append((c, m, float(eta)))
+            out.append((c, m, float(rows[c][m] / sst) if sst and sst > 0 else 0.0))
     return _long(spark, out, "category string, measure string, eta_squared double")
 
 
@@ -243,15 +244,10 @@ def cramers_v(df: DataFrame, cats: Sequence[str], yates: bool = True) -> DataFra
     (nulls as the value 'nan').  Cells come from one count per pair; the
     full r x k grid per pair is an equi-join of the two margin tables on the
     pair id (bounded by the cardinalities), so empty cells count too."""
-    spark = df.sparkSession
     cats = list(cats)
-    vals = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cats}
     pairs = [(a, b) for i, a in enumerate(cats) for b in cats[i + 1:]]
-    cells = None
-    for a, b in pairs:
-        t = df.groupBy(vals[a].alias("va"), vals[b].alias("vb")).agg(F.count(F.lit(1)).alias("o")) \
-              .withColumn("pair", F.lit(f"{a}|{b}"))
-        cells = t if cells is None else cells.unionByName(t)
+    cells = pair_cells(df, pairs).withColumnRenamed("n", "o").withColumn(
+        "pair", F.concat_ws("|", "col_a", "col_b")).drop("col_a", "col_b")
     rows_m = cells.groupBy("pair", "va").agg(F.sum("o").alias("ri"))
     cols_m = cells.groupBy("pair", "vb").agg(F.sum("o").alias("cj"))
     tot = cells.groupBy("pair").agg(F.sum("o").alias("n"))
@@ -404,17 +400,22 @@ def lda(df: DataFrame, cols: Sequence[str], label: str):
 
 
 # A12 -----------------------------------------------------------------------
+def pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Contingency counts of many column pairs in ONE pass: every row emits
+    one (col_a, va, col_b, vb) record per pair (a narrow explode), then one
+    hash aggregate counts them (map-side partials keep the shuffle to the
+    number of distinct cells).  Nulls are the value 'nan'."""
+    v = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+    recs = F.array(*[F.struct(F.lit(a).alias("col_a"), v(a).alias("va"), F.lit(b).alias("col_b"), v(b).alias("vb"))
+                     for a, b in pairs])
+    return (df.select(F.explode(recs).alias("r")).select("r.*")
+              .groupBy("col_a", "va", "col_b", "vb").agg(F.count(F.lit(1)).alias("n")))
+
+
 def burt_table(df: DataFrame, cats: Sequence[str]) -> DataFrame:
-    """Counts for every pair of (column, value) -- one count per column pair
-    (including a column with itself), unioned; J x J cells."""
-    vals = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cats}
-    out = None
-    for i, a in enumerate(cats):
-        for b in cats[i:]:
-            t = df.groupBy(vals[a].alias("va"), vals[b].alias("vb")).agg(F.count(F.lit(1)).alias("n")) \
-                  .select(F.lit(a).alias("col_a"), "va", F.lit(b).alias("col_b"), "vb", "n")
-            out = t if out is None else out.unionByName(t)
-    return out
+    """Counts for every pair of (column, value), a column with itself
+    included: J x J cells, one pass (``pair_cells``)."""
+    return pair_cells(df, [(a, b) for i, a in enumerate(cats) for b in cats[i:]])
 
 
 def mca(df: DataFrame, cats: Sequence[str], dims: int = 20):

@@ -166,7 +166,7 @@ FEATS = ["UValueWall", "UValueRoof", "UValueFloor", "UValueWindow", "WallArea",
 def _top_corr_sql(target, k):
     sel = ", ".join(f"abs(corr({c}, {target}))" for c in FEATS)
     names = ", ".join(f"'{c}'" for c in FEATS)
-    return (f"(SELECT feature FROM (SELECT unnest([{names}]) AS feature, unnest([{sel}]) AS r FROM clean) "
+    return (f"(SELECT feature FROM (SELECT unnest([{names}]) AS feature, round(unnest([{sel}]), 9) AS r FROM clean) "
             f"ORDER BY r DESC NULLS LAST, feature LIMIT {k})")
 
 
@@ -176,6 +176,9 @@ def _top_corr_sql(target, k):
     f"UNION ALL SELECT feature, 'only_b' FROM ({_top_corr_sql('EstCO2_kg_per_m2', 5)} EXCEPT {_top_corr_sql('BerRating', 5)})"))
 def intersect_names(spark, sf):
     cl = common.clean(spark, sf)
-    a = Q.target_correlations(cl, FEATS, "BerRating").orderBy(F.desc_nulls_last("abs_r"), "feature").limit(5)
-    b = Q.target_correlations(cl, FEATS, "EstCO2_kg_per_m2").orderBy(F.desc_nulls_last("abs_r"), "feature").limit(5)
+    # |r| rounded to 9 decimals before ranking: perfectly correlated features
+    # tie up to float noise, and the tie is then broken by name
+    rank = lambda t: Q.target_correlations(cl, FEATS, t).withColumn("abs_r", F.round("abs_r", 9)) \
+        .orderBy(F.desc_nulls_last("abs_r"), "feature").limit(5)
+    a, b = rank("BerRating"), rank("EstCO2_kg_per_m2")
     return S.intersect_names(a, b)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from hearthlens.session import ensure_checkpoint_dir
 
-CORRUPT = "_corrupt_record"
+EXTRA = "__extra_field"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -32,14 +32,14 @@ def scan_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
                    encoding: str = "ISO-8859-1", header: bool = True) -> DataFrame:
     """Delimited text, Latin-1, explicit schema.  Short rows are padded with
     nulls; rows with too many fields are skipped (the pandas
-    ``on_bad_lines='skip'`` rule) -- detected through the corrupt-record column."""
-    sch = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    ``on_bad_lines='skip'`` rule).  Over-long rows are detected with a
+    sentinel column appended to the schema: only a row with more fields
+    than the schema fills it."""
+    sch = T.StructType(schema.fields + [T.StructField(EXTRA, T.StringType())])
     df = (spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(sch).csv(path))
-    n = len(schema.fields)
-    too_long = F.col(CORRUPT).isNotNull() & (F.size(F.split(F.col(CORRUPT), sep, -1)) > n)
-    return df.where(~F.coalesce(too_long, F.lit(False))).drop(CORRUPT)
+          .option("mode", "PERMISSIVE").schema(sch).csv(path))
+    return df.where(F.col(EXTRA).isNull()).drop(EXTRA)
 
 
 # S02 / S03 -----------------------------------------------------------------

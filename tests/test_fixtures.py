@@ -175,3 +175,15 @@ def test_shap_single_stump():
                        {"w": 1.0, "value": 10.0, "conds": [(0, "num", 0.5, False, 0.5)]}], "expected": 5.0}
     phi = shap_batch(np.array([[0.0], [1.0]]), model, 1)
     assert phi[:, 0].tolist() == [-5.0, 5.0]
+
+
+def test_delimited_bad_lines(spark, tmp_path):
+    from pyspark.sql import types as T
+    from hearthlens.sources.files import scan_delimited
+    p = tmp_path / "f.tsv"
+    p.write_text("a\tb\tc\n1\tx\t2.5\n2\ty\n3\tz\t4.0\textra\n4\tw\t1.0\n", encoding="latin-1")
+    sch = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType()),
+                        T.StructField("c", T.DoubleType())])
+    df = scan_delimited(spark, str(p), sch)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "x", 2.5), (2, "y", None), (4, "w", 1.0)]
+    assert df.count() == 3
