@@ -13,6 +13,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Iterable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,24 +136,58 @@ def mode_exprs(cols: Sequence[str]) -> list[Column]:
     return [F.mode(F.col(c), True).alias(c) for c in cols]
 
 
+def text_modes(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Most frequent non-null value per column, ties -> smallest value.
+
+    Two-level counting (value counts with map-side partials, then an argmax
+    over the small count table) -- no per-group value map in one task."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v"))
+                                         for i, c in enumerate(cols)])).alias("s")).select("s.*")
+    counts = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("c").agg(F.min_by("v", F.struct((-F.col("n")).alias("nn"), F.col("v"))).alias("mode"))
+    got = {r["c"]: r["mode"] for r in best.collect()}  # one row per column
+    return {c: got.get(i) for i, c in enumerate(cols)}
+
+
 def fit_impute_stats(df: DataFrame, numeric: Sequence[str] | None = None,
                      text: Sequence[str] | None = None, approx: bool = False,
                      default_mode: str = "Unknown", default_median: float = 0.0) -> ImputeStats:
-    """One aggregate job over the full table -> medians and modes.
+    """Medians (numeric) and modes (text) of every column over the full table.
 
-    Medians are exact (``median``) unless ``approx`` (``percentile_approx``);
-    modes take the smallest of tied values.  The result is one row.
+    Exact medians come from the distributed counting quantile (bounded task
+    memory); ``approx`` switches to ``percentile_approx`` in one aggregate.
+    Modes take the smallest of tied values.  The result is one value per
+    column.
     """
+    from hearthlens.operators.quantiles import column_quantiles
+
     numeric = list(numeric if numeric is not None else numeric_columns(df))
     text = list(text if text is not None else string_columns(df))
-    exprs = median_exprs(numeric, approx) + mode_exprs(text)
-    if not exprs:
+    if not numeric and not text:
         return ImputeStats()
-    # aliases may clash between the two lists only if a column is in both
-    row = df.agg(*exprs).first()
-    meds = {c: (float(row[i]) if row[i] is not None else default_median) for i, c in enumerate(numeric)}
-    modes = {c: (row[len(numeric) + i] if row[len(numeric) + i] is not None else default_mode)
-             for i, c in enumerate(text)}
+    # the fit jobs read only the fitted columns: persist that narrow
+    # projection once instead of re-running the upstream plan per job
+    df = df.select(*dict.fromkeys(numeric + text)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(df, numeric, text, approx, default_mode, default_median)
+    finally:
+        df.unpersist()
+
+
+def _fit(df, numeric, text, approx, default_mode, default_median) -> ImputeStats:
+    from hearthlens.operators.quantiles import column_quantiles
+
+    if approx and numeric:
+        row = df.agg(*median_exprs(numeric, approx=True)).first()
+        med = {c: row[i] for i, c in enumerate(numeric)}
+    else:
+        med = {c: (v[0] if v else None) for c, v in column_quantiles(df, numeric, [0.5]).items()}
+    modes = text_modes(df, text)
+    meds = {c: (float(med[c]) if med.get(c) is not None else default_median) for c in numeric}
+    modes = {c: (modes[c] if modes.get(c) is not None else default_mode) for c in text}
     return ImputeStats(meds, modes)
 
 
@@ -176,8 +211,8 @@ def fill_group_mode(df: DataFrame, target: str, keys: Sequence[str],
                     fallbacks: Sequence[Sequence[str]] = (), out: str | None = None) -> DataFrame:
     """Fill ``target`` with the mode of its group, then of wider groups, then global.
 
-    Group modes are computed with ``mode`` (partial aggregation map-side, so a
-    hot group is pre-combined per partition before the shuffle) and joined
+    Group modes are two-level counts (value counts per group with map-side
+    partials, then an argmax per group -- ties to the smallest value) joined
     back on the key.  The lookup tables have one row per key, they are not
     broadcast by hint: AQE broadcasts them when their measured size is small.
     """
@@ -187,11 +222,11 @@ def fill_group_mode(df: DataFrame, target: str, keys: Sequence[str],
     fill_cols = []
     for i, ks in enumerate(levels):
         name = f"__gm{i}"
-        lookup = (df.where(F.col(target).isNotNull()).groupBy(*ks)
-                    .agg(F.mode(F.col(target), True).alias(name)))
+        counts = df.where(F.col(target).isNotNull()).groupBy(*ks, target).agg(F.count(F.lit(1)).alias("__n"))
+        lookup = counts.groupBy(*ks).agg(F.min_by(target, F.struct((-F.col("__n")).alias("nn"), F.col(target))).alias(name))
         result = result.join(lookup, on=ks, how="left")
         fill_cols.append(F.col(name))
-    glob = df.agg(F.mode(F.col(target), True).alias("g")).first()["g"]
+    glob = text_modes(df, [target])[target]
     result = result.withColumn(out, F.coalesce(F.col(target), *fill_cols, F.lit(glob)))
     return result.drop(*[f"__gm{i}" for i in range(len(levels))])
 
@@ -265,11 +300,13 @@ def fill_by_classification(df: DataFrame, target: str, features: Sequence[str],
 
 # C15 / C16 / C17 / P08 -----------------------------------------------------
 def quantiles(df: DataFrame, c: str, probs: Sequence[float], approx: bool = False) -> list[float]:
+    """Global quantiles of one column: exact (distributed counting) or approx."""
+    from hearthlens.operators.quantiles import column_quantiles
+
     if approx:
         row = df.agg(F.percentile_approx(F.col(c), list(probs), 10000).alias("q")).first()
-    else:
-        row = df.agg(F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first()
-    return list(row["q"]) if row["q"] is not None else [None] * len(probs)
+        return list(row["q"]) if row["q"] is not None else [None] * len(probs)
+    return column_quantiles(df, [c], probs)[c]
 
 
 def iqr_fence(df: DataFrame, c: str, k: float = 1.5, fit_on: DataFrame | None = None) -> DataFrame:

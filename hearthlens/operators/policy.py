@@ -39,23 +39,28 @@ def county_profile(df: DataFrame, group: str = "CountyName", target: str = "BerR
 
     One hash aggregate: partial aggregation map-side, so a hot county (a
     third of all rows) is pre-combined per partition before the shuffle and the
-    final aggregate sees one partial row per partition.  ``median`` keeps a
-    value->count map per group; ``approx_median`` switches to
-    ``percentile_approx`` for tables with very many distinct ratings.
+    final aggregate sees one partial row per partition.  The exact median
+    comes from the distributed counting quantile (``operators.quantiles``);
+    ``approx_median`` switches to ``percentile_approx`` in the same aggregate.
     """
     t = F.col(target)
-    med = F.percentile_approx(t, 0.5, 10000) if approx_median else F.median(t)
     aggs = [
         F.count(t).alias("total_homes"),
         F.avg(t).alias("mean_ber"),
-        med.alias("median_ber"),
         (share_where(t <= good_max) * 100.0).alias("pct_AB"),
         (share_where(t > poor_min) * 100.0).alias("pct_EFG"),
         F.avg(co2).alias("mean_co2_kg_m2"),
         (F.sum(co2_total) / 1000.0).alias("total_co2_kt"),
     ] + [(F.avg(F.col(src).cast("double")) * 100.0).alias(name) for name, src in RATE_COLUMNS.items()]
     extra = extra or {}
+    if approx_median:
+        aggs.append(F.percentile_approx(t, 0.5, 10000).alias("median_ber"))
     prof = df.groupBy(group).agg(*aggs, *[e.alias(n) for n, e in extra.items()])
+    if not approx_median:
+        # exact median by distributed counting (bounded task memory even for
+        # a county holding a third of all rows), joined per group
+        from hearthlens.operators.quantiles import group_quantiles
+        prof = prof.join(group_quantiles(df, group, target, [0.5], ["median_ber"]), group, "left")
     r = lambda c, s: _round(F.col(c), s, half_even)
     prof = prof.select(
         group, "total_homes",

@@ -176,18 +176,28 @@ def near_zero_variance_num(df: DataFrame, cols: Sequence[str] | None = None, lim
 
 # Q11 -----------------------------------------------------------------------
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """count, mean, std (ddof 1), min, quartiles (linear interpolation), max."""
+    """count, mean, std (ddof 1), min, quartiles (linear interpolation), max.
+
+    Moments in one aggregate; exact quartiles of all columns in one
+    distributed counting pass (``quantiles.column_quantiles``), or
+    ``percentile_approx`` with ``approx``."""
+    from hearthlens.operators.quantiles import column_quantiles
+
     cols = list(cols or numeric_columns(df))
-    q = (lambda c, p: F.percentile_approx(F.col(c), p, 10000)) if approx else (lambda c, p: F.percentile(F.col(c), p))
-    return _wide_to_long(df, {
+    mom = _wide_to_long(df, {
         "count": lambda c: F.count(F.col(c)),
         "mean": lambda c: F.avg(F.col(c)),
         "std": lambda c: F.stddev_samp(F.col(c)),
         "min": lambda c: F.min(F.col(c)).cast("double"),
-        "q25": lambda c: q(c, 0.25).cast("double"),
-        "q50": lambda c: q(c, 0.5).cast("double"),
-        "q75": lambda c: q(c, 0.75).cast("double"),
         "max": lambda c: F.max(F.col(c)).cast("double")}, cols)
+    if approx:
+        qs = _wide_to_long(df, {"q": lambda c: F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], 10000)}, cols)
+        q = qs.select("column_name", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+    else:
+        res = column_quantiles(df, cols, [0.25, 0.5, 0.75])  # one row per column
+        q = df.sparkSession.createDataFrame([(c, *res[c]) for c in cols],
+                                            "column_name string, q25 double, q50 double, q75 double")
+    return mom.join(q, "column_name").select("column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 # Q13 -----------------------------------------------------------------------

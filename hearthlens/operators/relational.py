@@ -83,8 +83,17 @@ def expand_by_catalogue(df: DataFrame, items: Sequence[Mapping], name: str = "sc
 
 # G02 / G03 -----------------------------------------------------------------
 def group_mean_median_count(df: DataFrame, keys: Sequence[str], value: str, approx: bool = False) -> DataFrame:
-    med = F.percentile_approx(value, 0.5, 10000) if approx else F.median(value)
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), med.alias("median"), F.count(value).alias("count"))
+    """Mean, median, count per group.  The exact median per group comes from
+    the distributed counting quantile (no per-group value map in one task)
+    and is joined to the group-level aggregate (one row per group)."""
+    from hearthlens.operators.quantiles import group_quantiles
+
+    if approx or len(keys) != 1:
+        med = F.percentile_approx(value, 0.5, 10000) if approx else F.median(value)
+        return df.groupBy(*keys).agg(F.avg(value).alias("mean"), med.alias("median"), F.count(value).alias("count"))
+    g = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("count"))
+    med = group_quantiles(df, keys[0], value, [0.5], ["median"])
+    return g.join(med, list(keys), "left").select(*keys, "mean", "median", "count")
 
 
 def group_mean_std_count(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -94,13 +103,15 @@ def group_mean_std_count(df: DataFrame, keys: Sequence[str], value: str) -> Data
 
 # G05 -----------------------------------------------------------------------
 def quantiles_table(df: DataFrame, value: str, probs: Sequence[float], approx: bool = False) -> DataFrame:
+    """(p, value) for every probability: exact by distributed counting, or approx."""
     if approx:
-        q = F.percentile_approx(value, list(probs), 10000)
-    else:
-        q = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
-    arr = df.agg(q.alias("q"))
-    return arr.select(F.posexplode("q").alias("i", "value")).select(
-        F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1).alias("p"), "value")
+        arr = df.agg(F.percentile_approx(value, list(probs), 10000).alias("q"))
+        return arr.select(F.posexplode("q").alias("i", "value")).select(
+            F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1).alias("p"), "value")
+    from hearthlens.operators.quantiles import column_quantiles
+
+    res = column_quantiles(df, [value], probs)[value]
+    return df.sparkSession.createDataFrame([(float(p), v) for p, v in zip(probs, res)], "p double, value double")
 
 
 # G06 - G09 -----------------------------------------------------------------

@@ -67,3 +67,19 @@ def test_shap_additivity(spark):
     from hearthlens.plans.registry import load_all
     df = load_all()["shap_values"].run(spark, SF_SMALL)
     assert df.agg(F.max("additivity_error")).first()[0] < 1e-6
+
+
+def test_counting_quantiles_equal_percentile(spark):
+    """The scalable counting path (forced with max_buffer=0) equals Spark's
+    exact percentile, globally and per group."""
+    from hearthlens.operators import quantiles as QQ
+    cl = common.clean(spark, SF_SMALL)
+    cols = ["BerRating", "FabricHeatLossProxy", "HSMainSystemEfficiency"]
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    mine = QQ.column_quantiles(cl, cols, probs, max_buffer=0)
+    ref = cl.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols]).first()
+    for c in cols:
+        assert np.allclose(mine[c], ref[c], rtol=1e-12, atol=1e-9)
+    g = {r[0]: r[1] for r in QQ.group_quantiles(cl, "CountyName", "BerRating", [0.5], ["m"], max_buffer=0).collect()}
+    r2 = {r[0]: r[1] for r in cl.groupBy("CountyName").agg(F.median("BerRating")).collect()}
+    assert g.keys() == r2.keys() and all(abs(g[k] - r2[k]) < 1e-9 for k in g)
