@@ -73,22 +73,13 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def _cumulative(counts: DataFrame, descending: bool) -> DataFrame:
-    """Running sums of pos/neg over distinct scores, computed per range
-    partition plus broadcast partition offsets (no single-partition window)."""
+    """Running sums of pos/neg over distinct scores (tp, fp), distributed:
+    range partitions + per-partition offsets, no single-partition window."""
+    from hearthlens.operators.relational import distributed_running
+
     order = F.desc("score") if descending else F.asc("score")
-    ranged = counts.repartitionByRange(F.desc("score") if descending else F.asc("score"))
-    with_pid = ranged.withColumn("__pid", F.spark_partition_id())
-    tot = with_pid.groupBy("__pid").agg(F.sum("pos").alias("p_pos"), F.sum("neg").alias("p_neg"))
-    # offsets: sums of all earlier partitions (one row per partition: bounded
-    # by the number of partitions)
-    w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("__pid", F.coalesce(F.sum("p_pos").over(w_off), F.lit(0)).alias("o_pos"),
-                      F.coalesce(F.sum("p_neg").over(w_off), F.lit(0)).alias("o_neg"))
-    w = Window.partitionBy("__pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = with_pid.withColumns({"c_pos": F.sum("pos").over(w), "c_neg": F.sum("neg").over(w)})
-    out = local.join(F.broadcast(offs), "__pid")
-    return out.select("score", "pos", "neg", (F.col("c_pos") + F.col("o_pos")).alias("tp"),
-                      (F.col("c_neg") + F.col("o_neg")).alias("fp"))
+    run = distributed_running(counts, [order], {"tp": F.col("pos"), "fp": F.col("neg")})
+    return run.select("score", "pos", "neg", "tp", "fp")
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -131,13 +122,19 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def per_class_f1(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Precision, recall, F1 per class (empty -> 0) from one count table."""
-    cm = df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
-    tp = cm.where(F.col(actual) == F.col(predicted)).select(F.col(actual).alias("cls"), F.col("n").alias("tp"))
-    sup = cm.groupBy(F.col(actual).alias("cls")).agg(F.sum("n").alias("support"))
-    pred = cm.groupBy(F.col(predicted).alias("cls")).agg(F.sum("n").alias("predicted"))
-    classes = sup.select("cls").union(pred.select("cls")).distinct()
-    t = (classes.join(tp, "cls", "left").join(sup, "cls", "left").join(pred, "cls", "left").na.fill(0))
+    """Precision, recall, F1 per class (empty -> 0) from one count table.
+
+    Each (actual, predicted) count is emitted twice -- once for the actual
+    class (support, true positives) and once for the predicted class -- and
+    one aggregate sums them: no joins."""
+    cm = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(F.lit(0))
+    recs = F.array(F.struct(F.col("a").alias("cls"), hit.alias("tp"), F.col("n").alias("support"),
+                            F.lit(0).cast("long").alias("predicted")),
+                   F.struct(F.col("p").alias("cls"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"),
+                            F.col("n").alias("predicted")))
+    t = (cm.select(F.explode(recs).alias("r")).select("r.*")
+           .groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted")))
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     t = t.withColumns({"precision": prec, "recall": rec})
