@@ -90,30 +90,25 @@ def binary_text_columns(spark, sf):
 
 
 def _blocks_sql():
-    # null counts per column -> blocks of equal counts -> all-null rows per block
+    """Blocks = columns sharing a null count; all-null rows per block from the
+    per-row list of null columns (generic: no block is named in advance)."""
     nulls = per_column_sql(PROXY_COLUMNS, "count(*) FILTER (WHERE {c} IS NULL) AS nulls")
-    conds = " UNION ALL ".join(
-        f"SELECT {sql_str(c)} AS column_name, {i} AS pos FROM (SELECT 1)" for i, c in enumerate(PROXY_COLUMNS))
-    return f"""
-    nb_nulls AS ({nulls}),
-    nb_blocks AS (
-      SELECT nulls AS null_count, string_agg(column_name, ',' ORDER BY column_name) AS columns,
-             CAST(count(*) AS INT) AS n_columns, list(column_name ORDER BY column_name) AS cols
-      FROM nb_nulls WHERE nulls > 0 GROUP BY nulls HAVING count(*) > 1
-    )"""
+    null_list = ", ".join(f"CASE WHEN {c} IS NULL THEN {sql_str(c)} END" for c in PROXY_COLUMNS)
+    return [
+        f"nb_nulls AS ({nulls})",
+        "nb_blocks AS (SELECT nulls AS null_count, string_agg(column_name, ',' ORDER BY column_name) AS columns, "
+        "CAST(count(*) AS INT) AS n_columns, list(column_name) AS cols FROM nb_nulls WHERE nulls > 0 "
+        "GROUP BY nulls HAVING count(*) > 1)",
+        f"nb_rows AS (SELECT list_filter([{null_list}], lambda x: x IS NOT NULL) AS ns FROM dwellings)",
+        "nb_hits AS (SELECT null_count, any_value(columns) AS columns, any_value(n_columns) AS n_columns, "
+        "count(*) FILTER (WHERE list_has_all(ns, cols)) AS rows_all_null FROM nb_blocks, nb_rows GROUP BY null_count)",
+    ]
 
 
 @register("Q08", "null_block_overlap", with_proxy(
-    """SELECT CAST(null_count AS BIGINT) AS null_count, columns, n_columns,
-       CAST(CASE columns
-         WHEN 'HSMainSystemEfficiency,HSSupplHeatFraction' THEN (SELECT count(*) FROM dwellings WHERE HSMainSystemEfficiency IS NULL AND HSSupplHeatFraction IS NULL)
-         WHEN 'NoOfSidesSheltered,StructureType' THEN (SELECT count(*) FROM dwellings WHERE NoOfSidesSheltered IS NULL AND StructureType IS NULL)
-       END AS BIGINT) AS rows_all_null,
-       CASE WHEN CASE columns
-         WHEN 'HSMainSystemEfficiency,HSSupplHeatFraction' THEN (SELECT count(*) FROM dwellings WHERE HSMainSystemEfficiency IS NULL AND HSSupplHeatFraction IS NULL)
-         WHEN 'NoOfSidesSheltered,StructureType' THEN (SELECT count(*) FROM dwellings WHERE NoOfSidesSheltered IS NULL AND StructureType IS NULL)
-       END = null_count THEN 'identical rows' ELSE 'partial overlap' END AS verdict
-       FROM nb_blocks""", _blocks_sql()))
+    "SELECT CAST(null_count AS BIGINT) AS null_count, columns, n_columns, CAST(rows_all_null AS BIGINT) AS rows_all_null, "
+    "CASE WHEN rows_all_null = null_count THEN 'identical rows' ELSE 'partial overlap' END AS verdict FROM nb_hits",
+    *_blocks_sql()))
 def null_block_overlap(spark, sf):
     return Q.null_block_overlap(common.proxy(spark, sf), PROXY_COLUMNS)
 

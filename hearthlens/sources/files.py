@@ -66,7 +66,11 @@ def scan_random_lines(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     if total <= n:
         return df
     frac = min(1.0, (n * 1.2 + 100) / total)
-    pre = df.sample(fraction=frac, seed=seed)
+    while True:
+        pre = df.sample(fraction=frac, seed=seed)
+        if frac >= 1.0 or pre.count() >= n:  # never fewer than n rows
+            break
+        frac = min(1.0, frac * 2)
     return pre.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
 
 
