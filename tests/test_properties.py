@@ -83,3 +83,28 @@ def test_counting_quantiles_equal_percentile(spark):
     g = {r[0]: r[1] for r in QQ.group_quantiles(cl, "CountyName", "BerRating", [0.5], ["m"], max_buffer=0).collect()}
     r2 = {r[0]: r[1] for r in cl.groupBy("CountyName").agg(F.median("BerRating")).collect()}
     assert g.keys() == r2.keys() and all(abs(g[k] - r2[k]) < 1e-9 for k in g)
+
+
+def test_quantiles_hot_and_null_groups(spark):
+    """A group holding a third of all rows and a null group key: the counting
+    path (forced) equals the percentile buffer per group."""
+    from hearthlens.operators import quantiles as QQ
+    rows = [("hot", float(i % 997)) for i in range(3000)] + \
+           [(f"g{i % 20}", float(i) / 7.0) for i in range(6000)] + [(None, float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    fast = {r["g"]: r["m"] for r in QQ.group_quantiles(df, "g", "v", [0.5], ["m"]).collect()}
+    slow = {r["g"]: r["m"] for r in QQ.group_quantiles(df, "g", "v", [0.5], ["m"], max_buffer=0).collect()}
+    ref = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert fast.keys() == slow.keys() == ref.keys()
+    assert all(abs(fast[k] - ref[k]) < 1e-9 and abs(slow[k] - ref[k]) < 1e-9 for k in ref)
+
+
+def test_stream_clean_equals_batch(spark):
+    from hearthlens.plans import common, dwelling
+    from hearthlens.plans.registry import load_all
+    batch = dwelling.clean_pipeline(common.proxy(spark, SF_SMALL))
+    stream = load_all()["stream_clean"].run(spark, SF_SMALL)
+    cols = sorted(batch.columns)
+    assert sorted(stream.columns) == cols
+    assert batch.select(*cols).exceptAll(stream.select(*cols)).count() == 0
+    assert stream.select(*cols).exceptAll(batch.select(*cols)).count() == 0
