@@ -12,6 +12,7 @@ import math
 from typing import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,18 +30,12 @@ def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.where(cond)
 
 
-def pairwise_moments(df: DataFrame, cols: Sequence[str]):
-    """Pairwise-complete centred moments of every column pair, in two passes
-    of plain sums (codegen-friendly; ``corr``/``covar`` buffers are far
-    slower when there are hundreds of them).
+MAX_AGG_EXPRS = 400  # aggregate expressions per job (generated-code size)
 
-    Pass 1: mean and non-null count per column.  Pass 2: sums of centred
-    cross products; pairs where a column has nulls also get masked counts
-    and masked first/second moments.  Returns (n, cov, corr) p x p arrays
-    with population covariance over the rows where both columns are set."""
-    cols = list(cols)
+
+def _moment_rows(df: DataFrame, cols: Sequence[str]):
     p = len(cols)
-    xs = [F.col(c).cast("double") for c in cols]
+    xs = [F.col(c) for c in cols]
     r1 = df.agg(F.count(F.lit(1)).alias("N"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
                 *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
     N = r1["N"]
@@ -57,7 +52,32 @@ def pairwise_moments(df: DataFrame, cols: Sequence[str]):
                           F.sum(F.when(both, d[i] * d[i])).alias(f"aa{i}_{j}"),
                           F.sum(F.when(both, d[j] * d[j])).alias(f"bb{i}_{j}")]
             exprs.append(F.sum(d[i] * d[j]).alias(f"x{i}_{j}"))
-    r2 = df.agg(*exprs).first()
+    r2 = {}
+    for start in range(0, len(exprs), MAX_AGG_EXPRS):
+        r2.update(df.agg(*exprs[start:start + MAX_AGG_EXPRS]).first().asDict())
+    return r1, r2
+
+
+def pairwise_moments(df: DataFrame, cols: Sequence[str]):
+    """Pairwise-complete centred moments of every column pair, in two passes
+    of plain sums (codegen-friendly; ``corr``/``covar`` buffers are far
+    slower when there are hundreds of them).
+
+    Pass 1: mean and non-null count per column.  Pass 2: sums of centred
+    cross products; pairs where a column has nulls also get masked counts
+    and masked first/second moments.  Returns (n, cov, corr) p x p arrays
+    with population covariance over the rows where both columns are set."""
+    cols = list(cols)
+    p = len(cols)
+    # several aggregate jobs read only these columns: persist the narrow
+    # projection (spills to disk) so the upstream plan runs once
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        r1, r2 = _moment_rows(df, cols)
+    finally:
+        df.unpersist()
+    N = r1["N"]
+    nullable = [r1[f"n{i}"] != N for i in range(p)]
     n = np.zeros((p, p))
     cov = np.zeros((p, p))
     corr = np.eye(p)

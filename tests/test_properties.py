@@ -108,3 +108,15 @@ def test_stream_clean_equals_batch(spark):
     assert sorted(stream.columns) == cols
     assert batch.select(*cols).exceptAll(stream.select(*cols)).count() == 0
     assert stream.select(*cols).exceptAll(batch.select(*cols)).count() == 0
+
+
+def test_pairwise_moments_many_columns(spark):
+    """60 columns -> 1770 pairs, split over several aggregate jobs; equals corr()."""
+    cols = [f"c{i}" for i in range(60)]
+    df = spark.range(2000).select(*[((F.col("id") * (i + 3)) % (97 + i)).cast("double").alias(c) for i, c in enumerate(cols)])
+    df = df.withColumn("c5", F.when(F.col("c5") > 50, None).otherwise(F.col("c5")))  # a nullable column
+    _, _, corr = ST.pairwise_moments(df, cols)
+    for i, j in [(0, 1), (5, 7), (10, 59), (33, 34)]:
+        d = df.where(F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull())
+        ref = d.agg(F.corr(cols[i], cols[j])).first()[0]
+        assert abs(corr[i, j] - ref) < 1e-9
