@@ -45,14 +45,14 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), BLANKS), lambda w: w != "")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest node id reachable over undirected ``edges`` (columns a, b).
 
-    nodes: column ``id`` (distinct).  Returns ``id, comp`` for nodes on an edge;
-    others are their own component and are not listed.  Alternating large-star
-    / small-star steps: every step is a grouped minimum (combined map-side) and
-    a join on a node, nothing leaves the executors, and each round is written
-    to the shared folder.  Hub nodes appear as one key with many rows, which
+    Returns ``id, comp`` for every node that has an edge and a smaller node in
+    its component; others are their own component and are not listed.
+    Alternating large-star / small-star steps: every step is a grouped minimum
+    (combined map-side) and a join on a node, nothing leaves the executors,
+    and each round is written to the shared folder.  Hub nodes appear as one key with many rows, which
     only ever meets ``min`` and an equi-join that AQE may split.
     """
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
