@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlens.llm import language, license_scan, ngram_join, packing, url_filter, warc
+from hearthlens.llm import decontam, language, license_scan, ngram_join, packing, url_filter, warc
 from hearthlens.llm.common import table
 
 
@@ -40,6 +40,10 @@ FROM m
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.UrlClassifier.fit(url_filter.labelled_urls(spark))
     return url_filter.judge(table(spark, sf_dir, "pages"), model, url_filter.RULES)
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_ngram_join": op8_ngram_join,
