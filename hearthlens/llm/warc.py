@@ -85,9 +85,10 @@ def record_text(date: str = "1970-01-01T00:00:00Z") -> Column:
                     F.lit(CRLF * 2), block)
 
 
-def write_warc(marked: DataFrame, path: str, records_per_file: int = 50_000) -> None:
-    """Writes rows of ``mark_revisits`` as WARC files below ``path``."""
-    (marked.select(record_text().alias("value")).write.option("lineSep", CRLF * 2)
+def write_warc(marked: DataFrame, path: str, records_per_file: int = 50_000, compression: str = "gzip") -> None:
+    """Writes rows of ``mark_revisits`` as WARC files below ``path`` (gzip or
+    none; the reader takes both)."""
+    (marked.select(record_text().alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression)
      .option("maxRecordsPerFile", str(records_per_file)).text(path))
 
 
