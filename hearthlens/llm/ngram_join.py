@@ -21,15 +21,13 @@ of distinct k-word shingles.  Method:
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlens.llm.common import components, materialize
+from hearthlens.llm.common import components, keep_ids, materialize
 from hearthlens.llm.texthash import U, mix, shingle_sets, text_chunks
 from hearthlens.session import ship_package
 
@@ -147,8 +145,9 @@ def _verify(percent):
 def verify_pairs(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those whose whole shingle sets are similar enough.
     docs: doc_id, text with distinct ids."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(need, "doc_id", "left_semi").mapInArrow(_whole_sets(k), "doc_id long, set binary")
+    pairs = materialize(pairs, "ngram-pairs")
+    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    sets = keep_ids(docs, need).mapInArrow(_whole_sets(k), "doc_id long, set binary")
     both = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
             .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a"))
     return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
@@ -173,8 +172,8 @@ def links(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFra
     reps = sizes.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = sizes.join(reps, ["n", "f1", "f2"], "left").select("doc_id", "n", "rep")
 
-    pre = docs.mapInArrow(_prefixes(k, percent, 2, levels), "doc_id long, n long, tokens array<long>")
-    pre = materialize(pre.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "ngram-prefixes")
+    pre = keep_ids(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(_prefixes(k, percent, 2, levels), "doc_id long, n long, tokens array<long>")
+    pre = materialize(pre, "ngram-prefixes")
     post = pre.select(F.explode("tokens").alias("tok"), F.col("doc_id").alias("rep"), "n")
     lists = post.groupBy("tok").agg(F.count("*").alias("df"), F.min(F.struct("rep", "n")).alias("hub")).where("df > 1")
     post = materialize(post.join(lists, "tok").select("tok", "rep", "n", "df", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m")), "ngram-postings")
