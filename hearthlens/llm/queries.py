@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlens.llm import decontam, language, license_scan, line_dedup, ngram_join, packing, spotsigs, url_filter, warc
+from hearthlens.llm import decontam, language, license_scan, line_dedup, lm_score, ngram_join, packing, spotsigs, url_filter, warc
 from hearthlens.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs, model)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.LanguageModel.fit(docs.where(~language.held_out(F.col("doc_id"))))
@@ -67,6 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_lm_score": op2_lm_score,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
