@@ -45,14 +45,15 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), BLANKS), lambda w: w != "")
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (its columns, at most two longs).
+def keep_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (its columns, at most two longs);
+    with ``left_anti`` those whose key is not.
 
     The ids are written and counted: a list of proven small size is broadcast,
     so that wide rows need not be shuffled; a larger one is joined by shuffle."""
     ids = materialize(ids.distinct(), "ids")
     small = ids.count() * 16 * len(ids.columns) <= broadcast_bytes
-    return df.join(F.broadcast(ids) if small else ids, ids.columns, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids, ids.columns, how)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

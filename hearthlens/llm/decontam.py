@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlens.llm import codepoints
+from hearthlens.llm.common import keep_ids
 from hearthlens.session import ship_package
 
 _GAP = 1
@@ -236,5 +237,5 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark passage occurs, all columns
     kept.  Rows without an id are searched for nothing and stay."""
-    bad = find_passages(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc_id).cast("long") == F.col("__bad"), "left_anti")
+    bad = find_passages(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias(doc_id))
+    return keep_ids(docs, bad, "left_anti").select(*docs.columns)

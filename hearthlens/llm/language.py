@@ -167,30 +167,43 @@ class LanguageModel:
         temp = temperature(scores, np.array([data[i][2] for i in sorted(held)])) if len(held) else 1.0
         return cls(languages, 3.0 * idf[:, None] * w, temp)
 
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """(language, calibrated probability) of each text."""
+        k = len(self.languages)
+        langs, best = [], []
+        for _, run in codepoints.runs(texts):
+            ids, ok, starts, letters = _grams(run)
+            sums, grams = np.zeros((len(run), k)), np.zeros(len(run))
+            for i, o in zip(ids, ok, strict=True):
+                cut = np.minimum(starts[:-1], len(i) - 1)
+                kept = np.where(o, i, 0)
+                for c in range(k):
+                    sums[:, c] += np.add.reduceat(np.where(o, self.table[kept, c], 0.0), cut)
+                grams += np.add.reduceat(o.astype(np.int64), cut)
+            s = sums / np.maximum(grams, 1)[:, None] / self.temp
+            p = np.exp(s - s.max(axis=1, keepdims=True)) if k else s
+            p = p / p.sum(axis=1, keepdims=True) if k else p
+            top = p.argmax(axis=1) if k else np.zeros(len(run), dtype=int)
+            for d in range(len(run)):
+                known = k and letters[d] > 0
+                langs.append(self.languages[top[d]] if known else UNKNOWN)
+                best.append(float(p[d, top[d]]) if known else 0.0)
+        return langs, best
+
     def predict(self, batches):
         """Arrow batches (key, text) to (key, lang_pred, score)."""
-        k = len(self.languages)
         for batch in batches:
-            langs, best = [], []
-            for _, run in codepoints.runs(batch.column(1).to_pylist()):
-                ids, ok, starts, letters = _grams(run)
-                sums, grams = np.zeros((len(run), k)), np.zeros(len(run))
-                for i, o in zip(ids, ok, strict=True):
-                    cut = np.minimum(starts[:-1], len(i) - 1)
-                    kept = np.where(o, i, 0)
-                    for c in range(k):
-                        sums[:, c] += np.add.reduceat(np.where(o, self.table[kept, c], 0.0), cut)
-                    grams += np.add.reduceat(o.astype(np.int64), cut)
-                s = sums / np.maximum(grams, 1)[:, None] / self.temp
-                p = np.exp(s - s.max(axis=1, keepdims=True)) if k else s
-                p = p / p.sum(axis=1, keepdims=True) if k else p
-                top = p.argmax(axis=1) if k else np.zeros(len(run), dtype=int)
-                for d in range(len(run)):
-                    known = k and letters[d] > 0
-                    langs.append(self.languages[top[d]] if known else UNKNOWN)
-                    best.append(float(p[d, top[d]]) if known else 0.0)
+            langs, best = self.judge(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(best, pa.float64())], names=["key", "lang_pred", "score"])
 
+    def keep(self, place: int, least: float):
+        def run(batches):
+            for batch in batches:
+                langs, best = self.judge(batch.column(place).to_pylist())
+                yield batch.filter(pa.array([x != UNKNOWN and p >= least for x, p in zip(langs, best, strict=True)], pa.bool_()))
+
+        return run
+
 
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is 2 modulo 4; a null id is not."""
@@ -209,3 +222,12 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 weights a language
     return (docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
             .mapInArrow(lambda batches: shared.value.predict(batches), "key long, lang_pred string, score double").withColumnRenamed("key", "doc_id"))
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.35) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose language is known with at least
+    ``min_score``; rows that would be ``und`` go."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+    return docs.mapInArrow(lambda batches: shared.value.keep(place, min_score)(batches), docs.schema)

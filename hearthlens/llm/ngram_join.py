@@ -223,3 +223,11 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     comp = components(found).select(F.col("id").alias("rep"), "comp")
     return (classes.join(comp, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Of each component of linked documents the one with the smallest doc_id
+    (rows that repeat that id stay together); everything else stays, rows
+    without an id included, with all columns."""
+    comp = ngram_components(docs, doc_id, text, **options).where("doc_id <> component_id")
+    return keep_ids(docs, comp.select(F.col("doc_id").alias(doc_id)), "left_anti").select(*docs.columns)
