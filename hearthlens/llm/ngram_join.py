@@ -175,10 +175,11 @@ def links(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFra
     pre = keep_ids(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(_prefixes(k, percent, 2, levels), "doc_id long, n long, tokens array<long>")
     pre = materialize(pre, "ngram-prefixes")
     post = pre.select(F.explode("tokens").alias("tok"), F.col("doc_id").alias("rep"), "n")
-    lists = post.groupBy("tok").agg(F.count("*").alias("df"), F.min(F.struct("rep", "n")).alias("hub")).where("df > 1")
-    post = materialize(post.join(lists, "tok").select("tok", "rep", "n", "df", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m")), "ngram-postings")
+    lists = post.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    post = materialize(post.join(lists, "tok").select("tok", "rep", "n", "df"), "ngram-postings")
+    hubs = post.groupBy("tok").agg(F.min(F.struct("rep", "n")).alias("hub")).select("tok", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m"))
 
-    found = materialize(verify_pairs(docs, post.where((F.col("rep") != F.col("hub")) & _close(percent)).groupBy("hub", "rep").agg(F.count("*").alias("c"))
+    found = materialize(verify_pairs(docs, post.join(hubs, "tok").where((F.col("rep") != F.col("hub")) & _close(percent)).groupBy("hub", "rep").agg(F.count("*").alias("c"))
                                      .where("c > 1").select(F.col("hub").alias("a"), F.col("rep").alias("b")), k, percent), "ngram-links")
     # the lists that still hold several components, once more with another hub:
     # the member outside the first hub's component
@@ -186,7 +187,7 @@ def links(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFra
         comp = components(found)
         named = post.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max(F.struct("comp", "rep", "n")).alias("top")).where("lo <> top.comp")
-        return named.drop("hub", "m").join(mixed, "tok")
+        return named.join(mixed, "tok")
 
     second = open_lists(found).where("comp <> top.comp").select("rep", "n", F.col("top.rep").alias("hub"), F.col("top.n").alias("m"))
     pairs = second.where(_close(percent)).groupBy(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
