@@ -83,7 +83,7 @@ def _add_parts(key, table):
 
 
 def frequency_levels(parts: DataFrame) -> bytes:
-    """The sketch over all documents as one byte per bucket (eighths of a
+    """The sketch over all documents as one byte per bucket (quarters of a
     power of two).  Its size is fixed (2**20 bytes) whatever the input; parts
     are added in two steps so that no group holds those of all tasks."""
     once = parts.groupBy("chunk", "f1").applyInArrow(_add_parts, "chunk long, f1 long, part binary")
@@ -91,7 +91,7 @@ def frequency_levels(parts: DataFrame) -> bytes:
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     for r in total.collect():  # 64 rows of 128 KB at most
         c = np.frombuffer(r["part"], dtype=np.int64)
-        levels[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.minimum(255, 8 * np.log2(1.0 + c)).astype(np.uint8)
+        levels[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.minimum(127, 4 * np.log2(1.0 + c)).astype(np.uint8)
     return levels.tobytes()
 
 
@@ -153,8 +153,12 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
-def _close(percent: int, n="n", m="m"):
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _close(percent: int, before: int):
+    """Length and positional filters for sets of n and m tokens with a common
+    token at places i and j that has at most ``before`` common ones before it.
+    A similar pair passes at the first or second common token."""
+    n, m, i, j = (F.col(c) for c in "nmij")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (F.least(n - i, m - j) + before) >= percent * (n + m))
 
 
 def links(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
@@ -174,38 +178,39 @@ def links(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFra
 
     pre = keep_ids(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(_prefixes(k, percent, 2, levels), "doc_id long, n long, tokens array<long>")
     pre = materialize(pre, "ngram-prefixes")
-    post = pre.select(F.explode("tokens").alias("tok"), F.col("doc_id").alias("rep"), "n")
+    post = pre.select(F.col("doc_id").alias("rep"), "n", F.posexplode("tokens").alias("i", "tok"))
     lists = post.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    post = materialize(post.join(lists, "tok").select("tok", "rep", "n", "df"), "ngram-postings")
-    hubs = post.groupBy("tok").agg(F.min(F.struct("rep", "n")).alias("hub")).select("tok", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m"))
+    post = materialize(post.join(lists, "tok").select("tok", "rep", "n", "i", "df"), "ngram-postings")
+    hubs = post.groupBy("tok").agg(F.min(F.struct("rep", "n", "i")).alias("hub")).select("tok", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"))
+
+    found = materialize(verify_pairs(docs, post.join(hubs, "tok").where((F.col("rep") != F.col("hub")) & _close(percent, 1)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), k, percent), "ngram-links")
 
-    found = materialize(verify_pairs(docs, post.join(hubs, "tok").where((F.col("rep") != F.col("hub")) & _close(percent)).groupBy("hub", "rep").agg(F.count("*").alias("c"))
-                                     .where("c > 1").select(F.col("hub").alias("a"), F.col("rep").alias("b")), k, percent), "ngram-links")
     # the lists that still hold several components, once more with another hub:
-    # the member outside the first hub's component
+    # a member of the last component
     def open_lists(found):
-        comp = components(found)
-        named = post.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max(F.struct("comp", "rep", "n")).alias("top")).where("lo <> top.comp")
+        named = post.join(components(found).withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max(F.struct("comp", "rep", "n", "i")).alias("top")).where("lo <> top.comp")
         return named.join(mixed, "tok")
 
-    second = open_lists(found).where("comp <> top.comp").select("rep", "n", F.col("top.rep").alias("hub"), F.col("top.n").alias("m"))
-    pairs = second.where(_close(percent)).groupBy(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
+    second = open_lists(found).where("comp <> top.comp").select("rep", "n", "i", F.col("top.rep").alias("hub"), F.col("top.n").alias("m"), F.col("top.i").alias("j"))
+    pairs = second.where(_close(percent, 1)).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     found = materialize(found.union(verify_pairs(docs, pairs, k, percent)).distinct(), "ngram-links")
 
-    # the rest, exactly: single rare tokens, pairs of frequent ones
-    rest = materialize(open_lists(found).select("tok", "rep", "n", "df", "comp"), "ngram-rest")
-    rare = rest.where(F.col("df") <= frequent).select("tok", F.lit(None).cast("long").alias("tok2"), "rep", "n", "comp")
-    combos = (rest.where(F.col("df") > frequent).groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_set("tok")).alias("t"))
-              .select("rep", "n", "comp", "t", F.posexplode("t").alias("i", "tok"))
-              .select("rep", "n", "comp", "tok", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("tok2")))
-    index = rare.unionByName(combos)
-    mixed = index.groupBy("tok", "tok2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", "tok2")
-    index = index.join(mixed.withColumnsRenamed({"tok": "t1", "tok2": "t2"}), (F.col("tok") == F.col("t1")) & F.col("tok2").eqNullSafe(F.col("t2")), "left_semi")
-    x = index.select("tok", F.coalesce("tok2", F.lit(0)).alias("tok2"), F.col("rep").alias("a"), "n", F.col("comp").alias("ca"))
-    y = index.select("tok", F.coalesce("tok2", F.lit(0)).alias("tok2"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"))
-    pairs = x.join(y, ["tok", "tok2"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close(percent)).select("a", "b").distinct()
-    found = materialize(found.union(verify_pairs(docs, pairs, k, percent)).distinct(), "ngram-links")
+    # the rest, exactly: a similar pair shares two tokens or more of its
+    # prefixes, so one of the first two is rare or both are frequent
+    rest = materialize(open_lists(found).select("tok", "rep", "n", "i", "df", "comp"), "ngram-rest")
+    rare = rest.where(F.col("df") <= frequent).select("tok", F.lit(0).cast("long").alias("tok2"), "rep", "n", "i", "comp")
+    combos = (rest.where(F.col("df") > frequent).groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_set(F.struct("i", "tok"))).alias("t"))
+              .select("rep", "n", "comp", "t", F.posexplode("t").alias("at", "first"))
+              .select("rep", "n", "comp", F.col("first.i").alias("i"), F.col("first.tok").alias("tok"), F.explode(F.slice("t", F.col("at") + 2, F.size("t"))).alias("second")))
+    combos = combos.select("tok", F.col("second.tok").alias("tok2"), "rep", "n", "i", "comp")
+    for index, before in ((rare, 1), (combos, 0)):
+        mixed = index.groupBy("tok", "tok2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", "tok2")
+        index = index.join(mixed, ["tok", "tok2"], "left_semi")
+        x = index.select("tok", "tok2", F.col("rep").alias("a"), "n", "i", F.col("comp").alias("ca"))
+        y = index.select("tok", "tok2", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("cb"))
+        pairs = x.join(y, (x.tok == y.tok) & (x.tok2 == y.tok2) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close(percent, before)).select("a", "b").distinct()
+        found = materialize(found.union(verify_pairs(docs, pairs, k, percent)).distinct(), "ngram-links")
     return classes, found
 
 
