@@ -129,7 +129,8 @@ NON_FEATURES = ["BerRating", "CountyName", "EstCO2_kg_per_m2", "Total_Annual_CO2
 
 
 def scenarios_json() -> str:
-    """Raw text of the retrofit-measure catalogue shipped with the package."""
+    """Raw text of the retrofit-measure catalogue shipped with the package.
+    Its keys, labels and override values are fixed values of the domain."""
     return (_HERE / "scenarios.json").read_text(encoding="utf-8")
 
 

@@ -39,14 +39,15 @@ def split_label(key_cols: Sequence[str], train: int = 70, validation: int = 15)
 
 
 def fold_column(key_cols: Sequence[str], k: int = 5) -> Column:
-    return split_bucket(key_cols).cast("int") % k
+    """k folds of equal size (buckets are taken modulo a multiple of k)."""
+    return split_bucket(key_cols, 100 * k).cast("int") % k
 
 
 def hash_sample(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly n rows, seeded, independent of partitioning (T05): order by a
     hash of the key and keep the first n -- a top-k, planned as
     TakeOrderedAndProject (each task keeps n rows, the driver merges)."""
-    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed))))
     return df.withColumn("__h", h).orderBy("__h", *key_cols).limit(n).drop("__h")
 
 
@@ -56,10 +57,9 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     """R2, RMSE, MAE, MAPE (|label| + 1e-6 denominator) per group."""
     y, p = F.col(label), F.col(prediction)
     g = df.groupBy(*group) if group else df.groupBy()
-    m = g.agg(F.count(y).alias("n"), F.avg(y).alias("ybar"), F.sum((y - p) * (y - p)).alias("sse"),
-              F.sum(y * y).alias("syy"), F.sum(y).alias("sy"), F.avg(F.abs(y - p)).alias("mae"),
+    m = g.agg(F.count(y).alias("n"), F.sum((y - p) * (y - p)).alias("sse"), F.var_pop(y).alias("var"), F.avg(F.abs(y - p)).alias("mae"),
               F.avg(F.abs(y - p) / (F.abs(y) + F.lit(1e-6))).alias("mape"))
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    sst = F.col("var") * F.col("n")  # centred (Welford) sums, no cancellation
     return m.select(*group, "n", (F.lit(1.0) - F.col("sse") / sst).alias("r2"),
                     F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "mae", (F.col("mape") * 100.0).alias("mape_pct"))
 
@@ -77,7 +77,7 @@ def _cumulative(counts: DataFrame, descending: bool) -> DataFrame:
     range partitions + per-partition offsets, no single-partition window."""
     from hearthlens.operators.relational import distributed_running
 
-    order = F.desc("score") if descending else F.asc("score")
+    order = -F.col("score") if descending else F.col("score")
     run = distributed_running(counts, [order], {"tp": F.col("pos"), "fp": F.col("neg")})
     return run.select("score", "pos", "neg", "tp", "fp")
 
@@ -176,7 +176,7 @@ def feature_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], features:
     return stages
 
 
-def gbt_regressor(label: str = "label", max_iter: int = 60, max_depth: int = 6, step: float = 0.1,
+def gbt_regressor(label: str = "label", max_iter: int = 1500, max_depth: int = 8, step: float = 0.1,
                   max_bins: int = 64, validation_col: str | None = None, seed: int = 42):
     from pyspark.ml.regression import GBTRegressor
 
@@ -187,7 +187,7 @@ def gbt_regressor(label: str = "label", max_iter: int = 60, max_depth: int = 6,
     return GBTRegressor(**kw)
 
 
-def gbt_classifier(label: str = "label", weight: str | None = None, max_iter: int = 40, max_depth: int = 5,
+def gbt_classifier(label: str = "label", weight: str | None = None, max_iter: int = 800, max_depth: int = 7,
                    max_bins: int = 64, seed: int = 42):
     from pyspark.ml.classification import GBTClassifier
 
@@ -197,7 +197,7 @@ def gbt_classifier(label: str = "label", weight: str | None = None, max_iter: in
     return GBTClassifier(**kw)
 
 
-def forest_regressor(label: str = "label", trees: int = 60, depth: int = 12, min_leaf: int = 10,
+def forest_regressor(label: str = "label", trees: int = 300, depth: int = 20, min_leaf: int = 10,
                      max_bins: int = 64, seed: int = 42):
     from pyspark.ml.regression import RandomForestRegressor
 

@@ -60,7 +60,8 @@ def county_profile(df: DataFrame, group: str = "CountyName", target: str = "BerR
         # exact median by distributed counting (bounded task memory even for
         # a county holding a third of all rows), joined per group
         from hearthlens.operators.quantiles import group_quantiles
-        prof = prof.join(group_quantiles(df, group, target, [0.5], ["median_ber"]), group, "left")
+        from hearthlens.operators.relational import join_groups
+        prof = join_groups(prof, group_quantiles(df, [group], target, [0.5], ["median_ber"]), [group])
     r = lambda c, s: _round(F.col(c), s, half_even)
     prof = prof.select(
         group, "total_homes",

@@ -2,143 +2,77 @@
 
 Spark's exact ``percentile`` keeps a map of every distinct value of a group
 and merges it in one task -- unbounded for a continuous column of a hot
-group.  Here a quantile is found by counting instead:
-
-0. (size check) if every group has few distinct values, Spark's exact
-   ``percentile`` is used directly -- its buffer is then bounded;
-1. count rows per (group, value) -- hash aggregate with map-side partials;
-2. running counts in (group, value) order, computed by range partitioning
-   plus per-partition offsets (``relational.distributed_running``);
-3. for every (group, p) the 0-based rank h = p (n - 1) is known from the group
-   totals (one row per group); only the <= 2 distinct-value rows covering
-   floor(h) and ceil(h) are kept and brought back;
+group.  Here a quantile is found by counting instead, at every size:
+
+1. count rows per (group, value) -- hash aggregate with map-side partials,
+   written once to the checkpoint folder;
+2. running counts in (group, value) order by range buckets with fixed bounds
+   (``relational.distributed_running``), less the rows of earlier groups;
+3. for every p the 0-based rank h = p (n - 1) follows from the group's total;
+   one aggregate per group picks the values that cover floor(h) and ceil(h);
 4. linear interpolation between them (the ``percentile`` / ``quantile_cont``
    rule).
 
-Work and memory per task are bounded by the partition size, never by a group.
+Work and memory per task are bounded by the bucket size, never by a group,
+and nothing but the asked-for results of single columns reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlens.operators import relational as R
+from hearthlens.session import cut_lineage
 
 
-def _positions(n: int, p: float) -> tuple[int, int, float]:
-    h = p * (n - 1)
-    lo = int(math.floor(h))
-    return lo, int(math.ceil(h)), h - lo
-
-
-# Largest number of distinct values per group for which Spark's exact
-# ``percentile`` buffer (a value -> count map merged in one task) is used.
-MAX_BUFFER = 1_000_000
-
-
-def quantiles_long(long: DataFrame, group: str, value: str, probs: Sequence[float],
-                   max_buffer: int = MAX_BUFFER) -> dict:
-    """{group: [q(p) for p in probs]} for a long table (group, value).
-
-    A first cheap pass estimates the distinct values per group (HyperLogLog,
-    map-side partials).  When every group is under ``max_buffer`` (with a 5 %
-    margin for the estimate) the exact ``percentile`` aggregate is used -- its
-    per-group buffer is then provably bounded; otherwise the counting
-    algorithm runs, whose task memory does not depend on group size.
-    Nulls and NaN are ignored.  One entry per group."""
+def quantile_frame(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(groups, q: array of the quantiles in the order of ``probs``), a row per
+    group with a value.  Nulls and NaN are ignored; a null group is a group."""
+    g = [f"__g{i}" for i in range(len(groups))]
     v = F.col(value).cast("double")
     # NaN -> null by projection, not by a filter: a filter on a computed
     # value lets the optimizer infer not-null constraints and push the whole
-    # expression into upstream join conditions.  Aggregates skip the nulls.
-    # The narrow (group, value) projection is read by several small jobs:
-    # persist it (two columns; spills to disk) so the upstream plan runs once.
-    clean = (long.select(F.col(group).alias("g"), F.when(F.isnan(v), F.lit(None)).otherwise(v).alias("v"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        return _quantiles(clean, probs, max_buffer)
-    finally:
-        clean.unpersist()
-
-
-def _quantiles(clean: DataFrame, probs: Sequence[float], max_buffer: int) -> dict:
-    sizes = clean.groupBy("g").agg(F.approx_count_distinct("v", 0.02).alias("d"),
-                                   F.count("v").alias("nn")).collect()  # one row per group
-    sizes = [r for r in sizes if r["nn"] > 0]
-    if not sizes:
-        return {}
-    if max(r["d"] for r in sizes) * 1.05 <= max_buffer:
-        q = clean.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-        return {r["g"]: list(r["q"]) for r in q.collect()}
-    # the (group, value) count table is reused by four small jobs: keep it
-    # (memory, spilling to disk) so the upstream plan runs once
-    # null values get n = 0: they never cover a rank position
-    counts = (clean.groupBy("g", "v").agg(F.count("v").alias("n"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        return _select(counts, probs)
-    finally:
-        counts.unpersist()
-
-
-def _select(counts: DataFrame, probs: Sequence[float]) -> dict:
-    totals = {r["g"]: int(r["t"]) for r in counts.groupBy("g").agg(F.sum("n").alias("t")).collect() if r["t"]}
-    if not totals:
-        return {}
-    run = R.distributed_running(counts, [F.col("g").asc(), F.col("v").asc()], {"cum": F.col("n")})
-    # running count restarts per group: subtract the rows of all earlier groups
-    start, acc = {}, 0
-    for g in sorted(totals, key=lambda x: (x is not None, x)):  # Spark: nulls first
-        start[g] = acc
-        acc += totals[g]
-    wanted = set()
-    for g, n in totals.items():
-        for p in probs:
-            lo, hi, _ = _positions(n, p)
-            wanted.add(start[g] + lo)
-            wanted.add(start[g] + hi)
-    pos = F.array(*[F.lit(int(x)) for x in sorted(wanted)])
-    # a distinct-value row covers global positions [cum - n, cum - 1]
-    hit = F.exists(pos, lambda x: (x >= F.col("cum") - F.col("n")) & (x < F.col("cum")))
-    rows = run.where(hit).select("g", "v", "n", "cum").collect()  # <= 2 rows per (group, p)
-    by_pos = {}
-    for r in rows:
-        for x in wanted:
-            if r["cum"] - r["n"] <= x < r["cum"]:
-                by_pos[x] = r["v"]
-    out = {}
-    for g, n in totals.items():
-        vals = []
-        for p in probs:
-            lo, hi, frac = _positions(n, p)
-            a, b = by_pos[start[g] + lo], by_pos[start[g] + hi]
-            vals.append(a if lo == hi else a + (b - a) * frac)
-        out[g] = vals
-    return out
-
-
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], max_buffer: int = MAX_BUFFER) -> dict:
+    # expression into upstream join conditions.  Null values count nothing.
+    clean = df.select(*[F.col(c).alias(a) for c, a in zip(groups, g)], F.when(F.isnan(v), F.lit(None)).otherwise(v).alias("__v"))
+    counts = cut_lineage(clean.groupBy(*g, "__v").agg(F.count("__v").alias("__n"))).where("__n > 0")
+    run = R.distributed_running(counts, [F.col(c) for c in [*g, "__v"]], {"__cum": F.col("__n")})
+    totals = counts.groupBy(*g).agg(F.sum("__n").alias("__t"))
+    starts = R.distributed_running(totals, [F.col(c) for c in g], {"__upto": F.col("__t")}).withColumn("__s", F.col("__upto") - F.col("__t"))
+    both = R.join_groups(run, starts, g)
+    first, last = F.col("__cum") - F.col("__n") - F.col("__s"), F.col("__cum") - F.col("__s") - 1
+    aggs = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("__t") - 1)
+        for name, at in ((f"__a{i}", F.floor(h)), (f"__b{i}", F.ceil(h))):
+            aggs.append(F.max(F.when((first <= at) & (at <= last), F.col("__v"))).alias(name))
+    picked = both.groupBy(*g).agg(F.max("__t").alias("__t"), *aggs)
+    qs = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("__t") - 1)
+        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
+        qs.append(F.when(a == b, a).otherwise(a + (b - a) * (h - F.floor(h))))
+    return picked.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], F.array(*qs).alias("q"))
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict:
     """Exact quantiles of many columns in one pass: unpivot to (column index,
-    value) and treat the column as the group."""
+    value) and treat the column as the group.  One row per column is collected."""
     cols = list(cols)
     if not cols:
         return {}
     long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
                                          for i, c in enumerate(cols)])).alias("s")).select("s.*")
-    res = quantiles_long(long, "c", "v", probs, max_buffer)
+    res = {r["c"]: list(r["q"]) for r in quantile_frame(long, ["c"], "v", probs).collect()}
     return {c: res.get(i, [None] * len(probs)) for i, c in enumerate(cols)}
 
 
-def group_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, max_buffer: int = MAX_BUFFER) -> DataFrame:
-    """DataFrame (group, q columns) of exact per-group quantiles; one row per
-    group, joinable to a group-level aggregate."""
-    res = quantiles_long(df.select(group, value), group, value, probs, max_buffer)
+def group_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """(groups, q columns) of exact per-group quantiles; one row per group,
+    joinable to a group-level aggregate (``relational.join_groups``)."""
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    gtype = df.schema[group].dataType.simpleString()
-    schema = f"{group} {gtype}, " + ", ".join(f"{n} double" for n in names)
-    return df.sparkSession.createDataFrame([(g, *vals) for g, vals in res.items()], schema)
+    q = quantile_frame(df, groups, value, probs)
+    return q.select(*groups, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])

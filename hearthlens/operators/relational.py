@@ -4,8 +4,8 @@ Scale rules followed here:
 * grouping always goes through hash aggregation with map-side partials, so a
   hot group is pre-combined before the shuffle;
 * row-level global order (row numbers, ECDF, running sums) is computed by
-  range partitioning plus per-partition offsets (a table with one row per
-  partition), never by one window over all rows in a single task;
+  range buckets with fixed bounds plus per-bucket offsets (a table with one
+  row per bucket), never by one window over all rows in a single task;
 * duplicate detection counts keys first (partial aggregation), then
   semi-joins back, instead of a window partitioned by a possibly hot key;
 * broadcasts are limited to tables with a fixed or checked size.
@@ -18,14 +18,6 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROW_LIMIT = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast only after checking the row count (one count job)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 # J01 -----------------------------------------------------------------------
 def enrich_join(base: DataFrame, extra: DataFrame, base_key: Sequence[str], extra_key: Sequence[str],
                 columns: Mapping[str, str], check_unique: bool = True) -> DataFrame:
@@ -63,9 +55,9 @@ def positional_merge(base: DataFrame, extra: DataFrame, id_col: str = "row_id")
 
 # J02 -----------------------------------------------------------------------
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], value: str, default=None,
-                out: str | None = None, broadcast: bool = True) -> DataFrame:
-    """Left lookup by a (compound) key with a default; ``broadcast`` only for
-    lookups of fixed, small size (code tables, config)."""
+                out: str | None = None, broadcast: bool = False) -> DataFrame:
+    """Left lookup by a (compound) key with a default; ``broadcast`` is for
+    lookups of fixed, small size alone (code tables, config)."""
     out = out or value
     lk = F.broadcast(lookup) if broadcast else lookup
     res = df.join(lk.select(*keys, F.col(value).alias("__lv")), list(keys), "left")
@@ -88,12 +80,12 @@ def group_mean_median_count(df: DataFrame, keys: Sequence[str], value: str, appr
     and is joined to the group-level aggregate (one row per group)."""
     from hearthlens.operators.quantiles import group_quantiles
 
-    if approx or len(keys) != 1:
-        med = F.percentile_approx(value, 0.5, 10000) if approx else F.median(value)
+    if approx:
+        med = F.percentile_approx(value, 0.5, 10000)
         return df.groupBy(*keys).agg(F.avg(value).alias("mean"), med.alias("median"), F.count(value).alias("count"))
     g = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("count"))
-    med = group_quantiles(df, keys[0], value, [0.5], ["median"])
-    return g.join(med, list(keys), "left").select(*keys, "mean", "median", "count")
+    med = group_quantiles(df, keys, value, [0.5], ["median"])
+    return join_groups(g, med, keys).select(*keys, "mean", "median", "count")
 
 
 def group_mean_std_count(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -186,34 +178,62 @@ def band_counts(df: DataFrame, band_col: str, bands: Sequence[str]) -> DataFrame
 
 
 # W02 / W05 / W06 -------------------------------------------------------------
+def range_buckets(df: DataFrame, order: Sequence[Column], per_bucket: int = 32) -> Column:
+    """Bucket number of a row as a pure function of its order keys.
+
+    Bounds come from one small job (a random sample of ``per_bucket`` rows a
+    bucket; they decide balance, never results) and are written into the
+    expression, so every branch of a plan agrees on them.  Keys compare as one
+    struct: nulls first, NaN last, and a constant leading key does not pile up."""
+    spark = df.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    sample = df.select(key.alias("k")).orderBy(F.rand(17)).limit(per_bucket * buckets)
+    types = sample.schema["k"].dataType.fields
+    rows = [r["k"] for r in sample.orderBy("k").collect()]
+    picked = [rows[i * len(rows) // buckets] for i in range(1, buckets)] if rows else []
+    bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, types)]) for r in dict.fromkeys(picked)]
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key <= bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
+
+
 def distributed_running(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column],
                         row_number: str | None = None) -> DataFrame:
-    """Running sums (and an optional global row number) in a total order,
-    computed without a single-partition window: range-partition by the
-    order, take per-partition totals (one row per partition), turn them into
-    offsets, and add them to partition-local running sums."""
-    ranged = df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id())
-    metrics = dict(sums)
-    if row_number:
-        metrics["__one"] = F.lit(1)
-    ranged = ranged.withColumns({f"__v_{k}": v for k, v in metrics.items()})
-    tot = ranged.groupBy("__pid").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in metrics])
-    w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("__pid", *[F.coalesce(F.sum(f"__t_{k}").over(w_off), F.lit(0)).alias(f"__o_{k}") for k in metrics])
-    w = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """Running sums (and an optional global row number) in the ascending order
+    of the ``order`` expressions, without a single-partition window: rows get
+    a range bucket that depends on their keys alone, totals per bucket (one
+    row per bucket) become offsets, and bucket-local running sums are added."""
+    metrics = dict(sums) | ({"__one": F.lit(1)} if row_number else {})
+    ranged = df.withColumn("__b", range_buckets(df, order)).withColumns({f"__v_{k}": v for k, v in metrics.items()})
+    tot = ranged.groupBy("__b").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in metrics])
+    w_off = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("__b", *[F.coalesce(F.sum(f"__t_{k}").over(w_off), F.lit(0)).alias(f"__o_{k}") for k in metrics])
+    w = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"__c_{k}": F.sum(f"__v_{k}").over(w) for k in metrics})
-    joined = local.join(F.broadcast(offs), "__pid")
+    joined = local.join(F.broadcast(offs), "__b")  # a row per bucket
     outs = {k: F.col(f"__c_{k}") + F.col(f"__o_{k}") for k in sums}
     if row_number:
         outs[row_number] = (F.col("__c___one") + F.col("__o___one")).cast("long")
-    res = joined.withColumns(outs)
-    drop = [c for c in res.columns if c.startswith("__")]
-    return res.drop(*drop)
+    keep = [c for c in df.columns if c not in outs]
+    return joined.select(*keep, *[c.alias(k) for k, c in outs.items()])
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of two group-level tables that keeps null groups."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(r, cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
 def row_position(df: DataFrame, key: Sequence[str], name: str = "row_pos") -> DataFrame:
     """Stable 1-based row number by key, distributed (see ``distributed_running``)."""
-    return distributed_running(df, [F.col(k).asc() for k in key], {}, row_number=name)
+    return distributed_running(df, [F.col(k) for k in key], {}, row_number=name)
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
@@ -221,7 +241,7 @@ def ecdf(df: DataFrame, value: str) -> DataFrame:
     values first (partial aggregation), then the running count."""
     total = df.where(F.col(value).isNotNull()).count()
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    run = distributed_running(counts, [F.col(value).asc()], {"cum_n": F.col("n")})
+    run = distributed_running(counts, [F.col(value)], {"cum_n": F.col("n")})
     return run.withColumn("ecdf", F.col("cum_n") / F.lit(float(total)))
 
 
@@ -243,4 +263,7 @@ def top_k_abs_per_row(long: DataFrame, row_keys: Sequence[str], value: str = "va
 
 
 def argmax_by_group(df: DataFrame, group: str, item: str, score: Column) -> DataFrame:
-    return df.groupBy(group).agg(F.max_by(F.col(item), score).alias(item), F.max(score).alias("score"))
+    """The item with the largest score of each group; ties go to the smallest item."""
+    best = df.groupBy(group, F.col(item).alias("__i")).agg(F.max(score).alias("__s"))
+    best = best.groupBy(group).agg(F.min(F.struct((-F.col("__s")).alias("s"), F.col("__i").alias("i"))).alias("__b"))
+    return best.select(group, F.col("__b.i").alias(item), (-F.col("__b.s")).alias("score"))

@@ -90,3 +90,24 @@ def intersect_names(a: DataFrame, b: DataFrame, col: str = "feature") -> DataFra
     only_a = a.select(col).exceptAll(b.select(col)).withColumn("membership", F.lit("only_a"))
     only_b = b.select(col).exceptAll(a.select(col)).withColumn("membership", F.lit("only_b"))
     return both.unionByName(only_a).unionByName(only_b)
+
+
+# Q12 / J06 -------------------------------------------------------------------
+def leakage_check(df: DataFrame, forbidden: Sequence[str]) -> DataFrame:
+    """(column_name, present) for every forbidden feature column."""
+    return df.sparkSession.createDataFrame([(c, c in df.columns) for c in forbidden], "column_name string, present boolean")
+
+
+def require_no_leakage(df: DataFrame, forbidden: Sequence[str]) -> DataFrame:
+    """``df`` itself; an error names forbidden columns that it still has."""
+    found = [c for c in forbidden if c in df.columns]
+    if found:
+        raise ValueError(f"target-derived columns among the features: {found}")
+    return df
+
+
+def pad_features(df: DataFrame, expected: Mapping[str, float]) -> DataFrame:
+    """Every expected feature, in order after the other columns; a missing one
+    is filled with its default."""
+    missing = {c: F.lit(float(v)) for c, v in expected.items() if c not in df.columns}
+    return df.withColumns(missing) if missing else df

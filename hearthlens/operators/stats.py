@@ -138,7 +138,7 @@ def ks_two_sample(df: DataFrame, value: str, group: str, groups: Sequence[str] |
     wide = d.groupBy(value).pivot(group, groups).agg(F.count(F.lit(1))).na.fill(0)
     totals = d.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r[0]: r[1] for r in totals}
-    run = R.distributed_running(wide, [F.col(value).asc()], {f"cum_{i}": F.col(f"`{g}`") for i, g in enumerate(groups)})
+    run = R.distributed_running(wide, [F.col(value)], {f"cum_{i}": F.col(f"`{g}`") for i, g in enumerate(groups)})
     pairs = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
     aggs = [F.max(F.abs(F.col(f"cum_{i}") / float(n[groups[i]]) - F.col(f"cum_{j}") / float(n[groups[j]]))).alias(f"d{i}_{j}")
             for i, j in pairs]
@@ -261,25 +261,24 @@ def f_sf(f, d1, d2):
 # A04 -----------------------------------------------------------------------
 def cramers_v(df: DataFrame, cats: Sequence[str], yates: bool = True) -> DataFrame:
     """Bias-corrected Cramer's V for every pair of category columns
-    (nulls as the value 'nan').  Cells come from one count per pair; the
-    full r x k grid per pair is an equi-join of the two margin tables on the
-    pair id (bounded by the cardinalities), so empty cells count too."""
+    (nulls as the value 'nan').  Cells come from one count per pair, and only
+    observed cells are needed: chi2 = n (sum o^2 / (r_i c_j) - 1).  A 2 x 2
+    table has the same |o - e| in all four cells, which gives Yates' form."""
     cats = list(cats)
     pairs = [(a, b) for i, a in enumerate(cats) for b in cats[i + 1:]]
     cells = pair_cells(df, pairs).withColumnRenamed("n", "o").withColumn(
         "pair", F.concat_ws("|", "col_a", "col_b")).drop("col_a", "col_b")
-    rows_m = cells.groupBy("pair", "va").agg(F.sum("o").alias("ri"))
-    cols_m = cells.groupBy("pair", "vb").agg(F.sum("o").alias("cj"))
-    tot = cells.groupBy("pair").agg(F.sum("o").alias("n"))
-    dims = rows_m.groupBy("pair").agg(F.count(F.lit(1)).alias("r")).join(
-        cols_m.groupBy("pair").agg(F.count(F.lit(1)).alias("k")), "pair")
-    grid = rows_m.join(cols_m, "pair").join(cells, ["pair", "va", "vb"], "left").join(tot, "pair").join(dims, "pair")
-    grid = grid.withColumn("o", F.coalesce("o", F.lit(0)).cast("double"))
-    e = F.col("ri") * F.col("cj") / F.col("n")
-    diff = F.abs(F.col("o") - e)
-    use_yates = F.lit(yates) & ((F.col("r") - 1) * (F.col("k") - 1) == 1)
-    dev = F.when(use_yates, F.greatest(diff - 0.5, F.lit(0.0))).otherwise(diff)
-    chi = grid.groupBy("pair", "n", "r", "k").agg(F.sum(dev * dev / e).alias("chi2"))
+    rows_m = cells.groupBy("pair", "va").agg(F.sum("o").cast("double").alias("ri"))
+    cols_m = cells.groupBy("pair", "vb").agg(F.sum("o").cast("double").alias("cj"))
+    dims = rows_m.groupBy("pair").agg(F.count(F.lit(1)).alias("r"), F.sum("ri").alias("n"), F.sum(1.0 / F.col("ri")).alias("ir")).join(
+        cols_m.groupBy("pair").agg(F.count(F.lit(1)).alias("k"), F.sum(1.0 / F.col("cj")).alias("ic")), "pair")
+    seen = cells.join(rows_m, ["pair", "va"]).join(cols_m, ["pair", "vb"]).join(dims, "pair")
+    o, rc_ = F.col("o").cast("double"), F.col("ri") * F.col("cj")
+    chi = seen.groupBy("pair", F.col("n").cast("long").alias("n"), "r", "k", "ir", "ic").agg(
+        F.sum(o * o / rc_).alias("s"), F.max(F.abs(o - rc_ / F.col("n"))).alias("d"))
+    off = F.greatest(F.col("d") - 0.5, F.lit(0.0))
+    two = F.lit(yates) & ((F.col("r") - 1) * (F.col("k") - 1) == 1)
+    chi = chi.withColumn("chi2", F.when(two, off * off * F.col("n") * F.col("ir") * F.col("ic")).otherwise(F.greatest(F.col("n") * (F.col("s") - 1), F.lit(0.0))))
     n, r, k = F.col("n").cast("double"), F.col("r").cast("double"), F.col("k").cast("double")
     phi2 = F.col("chi2") / n
     phi2c = F.greatest(F.lit(0.0), phi2 - (k - 1) * (r - 1) / (n - 1))
@@ -295,12 +294,16 @@ def cramers_v(df: DataFrame, cats: Sequence[str], yates: bool = True) -> DataFra
 # A05 -----------------------------------------------------------------------
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """VIF_j = (R^-1)_jj on complete rows (equal to 1 / (1 - R_j^2) of the
-    regression with constant).  R is one distributed pass; the inverse is
-    p x p on the driver."""
-    n, _, cov = covariance_matrix(df, cols)
+    regression with constant); infinite for a column that is a linear
+    combination of the others.  R is one distributed pass; the eigenvalues
+    are p x p on the driver."""
+    _, _, cov = covariance_matrix(df, cols)
     R_ = correlation_from_cov(cov)
-    inv = np.linalg.pinv(R_)
-    rows = [(c, float(inv[i, i])) for i, c in enumerate(cols)]
+    w, v = np.linalg.eigh(R_)
+    null = w <= 1e-10 * len(cols)
+    dependent = (np.abs(v[:, null]) > 1e-6).any(axis=1)
+    inv = (v[:, ~null] / w[~null]) @ v[:, ~null].T
+    rows = [(c, float("inf") if dependent[i] else float(max(inv[i, i], 1.0))) for i, c in enumerate(cols)]
     return _long(df.sparkSession, rows, "feature string, vif double")
 
 
@@ -514,13 +517,15 @@ def famd(df: DataFrame, nums: Sequence[str], cats: Sequence[str], dims: int = 30
 
 # A16 -----------------------------------------------------------------------
 def qq_points(df: DataFrame, value: str, points: int = 99) -> DataFrame:
-    """Sample quantiles (exact percentile, one pass) against standard normal
+    """Sample quantiles (exact, by counting) against standard normal
     quantiles of the same probabilities, for standardised values."""
     from statistics import NormalDist
 
+    from hearthlens.operators.quantiles import column_quantiles
+
     probs = [(i + 0.5) / points for i in range(points)]
-    row = df.agg(F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("q"),
-                 F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
+    row = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
+    quantiles = column_quantiles(df, [value], probs)[value]
     nd = NormalDist()
-    rows = [(p, nd.inv_cdf(p), float((q - row["m"]) / row["s"])) for p, q in zip(probs, row["q"])]
+    rows = [(p, nd.inv_cdf(p), float((q - row["m"]) / row["s"])) for p, q in zip(probs, quantiles)]
     return _long(df.sparkSession, rows, "p double, theoretical double, sample double")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from hearthlens.functions import features as fx
 from hearthlens.operators import clean as C
 from hearthlens.operators import ml
+from hearthlens.operators import select as S
 from hearthlens.plans import common
 from hearthlens.session import cut_lineage
 from hearthlens.sources.tables import DWELLING_KEY
@@ -27,11 +28,13 @@ NUM_FEATURES = ["UValueWall", "UValueRoof", "UValueFloor", "UValueWindow", "Uval
                 "HSSupplHeatFraction", "NoOfSidesSheltered", "Year_of_Construction", "DeclaredLossFactor",
                 "IsHeatPump", "HasSolarWaterHeating", "HasRoofInsulation", "HasWallInsulation", "HasDoubleGlazing",
                 "WindowToWallRatio", "FabricHeatLossProxy", "FabricHeatLossPerM2"]
+FORBIDDEN = ["BerRating", "EnergyRating", "is_retrofitted", "EstCO2_kg_per_m2", "CountyName", "label", "clf_label"]  # never features
 MAX_BINS = 64  # >= the largest category count of the encoded columns
 
 
 def model_frame(spark: SparkSession, sf: str, checkpoint: bool = True) -> DataFrame:
     """Clean table + label (log1p rating) + split + fold, checkpointed."""
+    S.require_no_leakage(common.clean(spark, sf).select(*CAT_FEATURES, *NUM_FEATURES), FORBIDDEN)
     cl = C.coerce_numeric(common.clean(spark, sf), ["DeclaredLossFactor"])
     d = cl.select(*DWELLING_KEY, "CountyName", "BerRating", "is_retrofitted", *CAT_FEATURES,
                   *[F.col(c).cast("double").alias(c) for c in NUM_FEATURES])
@@ -53,8 +56,9 @@ def fit_gbt(train: DataFrame, max_iter: int = 30, max_depth: int = 5, use_valida
 
 
 def predict_original(model: PipelineModel, df: DataFrame, out: str = "pred_ber") -> DataFrame:
-    """Score and back-transform: expm1, clipped at 0."""
-    return model.transform(df).withColumn(out, fx.expm1_clipped("prediction"))
+    """Score and back-transform: expm1, clipped at 0.  Numeric features that a
+    table lacks are padded with 0."""
+    return model.transform(S.pad_features(df, dict.fromkeys(NUM_FEATURES, 0.0))).withColumn(out, fx.expm1_clipped("prediction"))
 
 
 def split_metrics(scored: DataFrame, label: str = "BerRating", prediction: str = "pred_ber") -> DataFrame:

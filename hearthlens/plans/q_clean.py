@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hearthlens import config
 from hearthlens.functions import features as fx
 from hearthlens.operators import clean as C
+from hearthlens.operators import relational as R
 from hearthlens.plans import common, dwelling
 from hearthlens.plans.oracle import with_clean, with_proxy
 from hearthlens.plans.registry import register
@@ -184,8 +185,8 @@ def fill_by_regression(spark, sf):
     from pyspark.sql import Window
     cl = common.clean(spark, sf)
     codes = cl.select("DwellingTypeDescr").distinct().withColumn(
-        "type_code", (F.dense_rank().over(Window.orderBy("DwellingTypeDescr")) - 1).cast("double"))
-    d = cl.join(codes, "DwellingTypeDescr").withColumn("yr", F.col("Year_of_Construction").cast("double"))
+        "type_code", (F.dense_rank().over(Window.orderBy(F.asc_nulls_last("DwellingTypeDescr"))) - 1).cast("double"))
+    d = R.join_groups(cl, codes, ["DwellingTypeDescr"]).withColumn("yr", F.col("Year_of_Construction").cast("double"))
     out = C.fill_by_regression(d, "HSSupplHeatFraction", ["yr", "type_code"], decimals=3)
     return out.select(*DWELLING_KEY, "HSSupplHeatFraction")
 

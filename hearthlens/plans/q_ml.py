@@ -93,7 +93,7 @@ def random_search(spark, sf, draws: int = 6, folds: int = 2, seed: int = 42):
     """Seeded random draws from a parameter grid, scored by 2-fold cross
     validation (folds from the key hash); fits run in parallel tasks."""
     frame = MD.model_frame(spark, sf)
-    train = frame.where(F.col("split") == "train").withColumn("cv_fold", (F.col("fold") % folds).cast("int"))
+    train = frame.where(F.col("split") == "train").withColumn("cv_fold", ml.fold_column(DWELLING_KEY, folds))
     learner = ml.gbt_regressor("label", max_iter=15, max_bins=MD.MAX_BINS)
     pipe = MD.regression_pipeline(learner)
     rng = random.Random(seed)
@@ -228,18 +228,19 @@ def _count_splits(node, acc):
 def learning_curve(spark, sf, sizes=(10, 20, 35, 50, 65, 80, 90, 100), folds: int = 3):
     """Metric vs training size: nested hash samples (bucket < size%) x 3 folds."""
     frame = MD.model_frame(spark, sf)
-    train = frame.where(F.col("split") != "test").withColumn("b", ml.split_bucket(DWELLING_KEY[::-1]))
+    train = (frame.where(F.col("split") != "test").withColumn("b", ml.split_bucket(DWELLING_KEY[::-1]))
+             .withColumn("cv_fold", ml.fold_column(DWELLING_KEY, folds)))
     rows = []
     for f in range(folds):
-        val = train.where(F.col("fold") % folds == f)
-        fit_pool = train.where(F.col("fold") % folds != f)
+        val = train.where(F.col("cv_fold") == f)
+        fit_pool = train.where(F.col("cv_fold") != f)
         for s in sizes:
             part = fit_pool.where(F.col("b") < s)
             n = part.count()
             model = MD.regression_pipeline(ml.ridge("label", 1.0, n), scale=True).fit(part)
-            r2 = ml.regression_metrics(MD.predict_original(model, val), "BerRating", "pred_ber").first()["r2"]
-            rows.append((int(s), f, int(n), float(r2)))
-    return spark.createDataFrame(rows, "size_pct int, fold int, train_rows long, r2 double")
+            r2, train_r2 = (ml.regression_metrics(MD.predict_original(model, x), "BerRating", "pred_ber").first()["r2"] for x in (val, part))
+            rows.append((int(s), f, int(n), float(r2), float(train_r2)))
+    return spark.createDataFrame(rows, "size_pct int, fold int, train_rows long, r2 double, train_r2 double")
 
 
 @register("M15", "loss_curve")
@@ -247,9 +248,10 @@ def loss_curve(spark, sf):
     frame = MD.model_frame(spark, sf)
     model = MD.fit_gbt(_train_val(frame), use_validation=False)
     gbt = model.stages[-1]
-    prepared = PipelineModel(model.stages[:-1]).transform(frame.where(F.col("split") == "test"))
-    losses = gbt.evaluateEachIteration(prepared, "squared")
-    return spark.createDataFrame([(i + 1, float(np.sqrt(l))) for i, l in enumerate(losses)], "round int, rmse double")
+    prepared = PipelineModel(model.stages[:-1]).transform(frame)
+    rows = [(split, i + 1, float(np.sqrt(loss))) for split in ("train", "validation", "test")
+            for i, loss in enumerate(gbt.evaluateEachIteration(prepared.where(F.col("split") == split), "squared"))]
+    return spark.createDataFrame(rows, "split string, round int, rmse double")
 
 
 @register("M16", "coefficient_table")
@@ -267,17 +269,17 @@ def coefficient_table(spark, sf):
 @register("M17", "representation_compare")
 def representation_compare(spark, sf):
     """Accuracy of a logistic model on original vs PCA-projected features
-    (class = dwelling type), hold-out on the test split."""
+    (class = dwelling type), hold-out on the test split; encoder, projection
+    and model are fitted on training rows alone."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from hearthlens.plans.q_stats import PCA_COLS
 
-    frame = MD.model_frame(spark, sf)
     d = ST.complete_rows(common.clean(spark, sf), PCA_COLS).withColumn("split", ml.split_label(DWELLING_KEY))
     _, _, fit = ST.pca(d.where(F.col("split") == "train"), PCA_COLS)
     d = ST.pca_scores(d, fit, 5)
-    d = StringIndexer(inputCol="DwellingTypeDescr", outputCol="y").fit(d).transform(d)
+    d = StringIndexer(inputCol="DwellingTypeDescr", outputCol="y", handleInvalid="skip").fit(d.where(F.col("split") == "train")).transform(d)
     ev = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
     rows = []
     for rep, cols in (("original", PCA_COLS), ("pca5", [f"pc{i}" for i in range(1, 6)])):
@@ -287,7 +289,6 @@ def representation_compare(spark, sf):
                           ("forest", RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=8, seed=42))):
             acc = ev.evaluate(est.fit(tr).transform(te))
             rows.append((rep, name, float(acc)))
-    del frame
     return spark.createDataFrame(rows, "representation string, model string, accuracy double")
 
 

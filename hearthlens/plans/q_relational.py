@@ -44,7 +44,7 @@ def lookup_join(spark, sf):
     # the factor table is fixed config (27 rows): broadcast has a fixed bound
     fac = spark.createDataFrame(list(config.CO2_FACTORS.items()), "MainSpaceHeatingFuel string, factor double")
     out = R.lookup_join(common.clean(spark, sf), fac, ["MainSpaceHeatingFuel"], "factor",
-                        default=config.DEFAULT_CO2_FACTOR, out="co2_factor")
+                        default=config.DEFAULT_CO2_FACTOR, out="co2_factor", broadcast=True)
     return out.select(*DWELLING_KEY, "co2_factor")
 
 
@@ -285,7 +285,7 @@ def argmax_by_group(spark, sf):
     return a.select("CountyName", "feature", F.round("score", 6).alias("score"))
 
 
-@register("T05", "sample_n")
+@register("T05", "sample_n", with_clean(f"SELECT {K}, BerRating FROM clean ORDER BY md5(concat_ws('|', {K}, 42)), {K} LIMIT 200"))
 def sample_n(spark, sf):
     """Exactly n rows, seeded and partition-independent (a sampling operator:
     here the limit is the feature)."""

@@ -61,9 +61,10 @@ def scan_head(spark, sf):
     return common.proxy(spark, sf).orderBy(*DWELLING_KEY).limit(100)
 
 
-@register("S05", "scan_random_lines")
+@register("S05", "scan_random_lines", with_proxy(f"SELECT * FROM dwellings ORDER BY md5(concat_ws('|', {K}, 42)), {K} LIMIT 500"))
 def scan_random_lines(spark, sf):
-    return FS.scan_random_lines(common.proxy(spark, sf), 500, seed=42)
+    # a random sample of lines: the limit is the feature
+    return FS.scan_random_lines(common.proxy(spark, sf), 500, DWELLING_KEY, seed=42)
 
 
 @register("S06", "scan_parquet", "SELECT * FROM customer")
@@ -79,17 +80,15 @@ def scan_parquet_columns(spark, sf):
 
 
 @register("S08", "scan_row_groups", with_clean(
-    "SELECT AgeBand, count(*) AS rows FROM clean GROUP BY AgeBand"))
+    "SELECT * FROM clean"))
 def scan_row_groups(spark, sf):
     """Chunk-at-a-time processing is Spark's partitioning: write the proxy,
-    read it back in many small input splits, clean every split with the same
-    (frozen) statistics and aggregate."""
+    read it back in its input splits and clean every split with the same
+    (frozen) statistics; the cleaned rows are the result."""
     d = common.proxy(spark, sf)
-    path = FS.sink_parquet(d.repartition(8), FS.scratch_path(spark, "rowgroups"))
+    path = FS.sink_parquet(d, FS.scratch_path(spark, "rowgroups"))
     stats = dwelling.fit_clean_stats(spark.read.parquet(path))
-    back = spark.read.option("maxPartitionBytes", 256 * 1024).parquet(path)
-    cleaned = dwelling.clean_pipeline_with_stats(back, stats)
-    return cleaned.groupBy("AgeBand").agg(F.count(F.lit(1)).alias("rows"))
+    return dwelling.clean_pipeline_with_stats(spark.read.parquet(path), stats)
 
 
 def _scenario_json_path(spark):
@@ -126,7 +125,7 @@ def sink_parquet(spark, sf):
 def sink_parquet_incremental(spark, sf):
     from hearthlens.streaming.stream import stream_append
     d = common.proxy(spark, sf)
-    src = FS.sink_parquet(d.repartition(4), FS.scratch_path(spark, "arriving"))
+    src = FS.sink_parquet(d, FS.scratch_path(spark, "arriving"))
     return stream_append(spark, src, d.schema, FS.scratch_path(spark, "appended"), FS.scratch_path(spark, "ckpt"))
 
 

@@ -16,7 +16,7 @@ def stream_clean(spark, sf):
     files cleaned by a streaming query (pass 2): equals the batch clean."""
     d = common.proxy(spark, sf)
     stats = dwelling.fit_clean_stats(d)
-    src = FS.sink_parquet(d.repartition(4), FS.scratch_path(spark, "arriving"))
+    src = FS.sink_parquet(d, FS.scratch_path(spark, "arriving"))
     return ST.stream_clean(spark, src, d.schema, stats, FS.scratch_path(spark, "stream-clean"),
                            FS.scratch_path(spark, "ckpt"))
 
@@ -26,5 +26,5 @@ def stream_clean(spark, sf):
     "count(*) FILTER (WHERE {c} IS NULL) / count(*) AS null_share")))
 def stream_null_profile(spark, sf):
     d = common.proxy(spark, sf)
-    src = FS.sink_parquet(d.repartition(4), FS.scratch_path(spark, "arriving"))
+    src = FS.sink_parquet(d, FS.scratch_path(spark, "arriving"))
     return ST.stream_null_profile(spark, src, d.schema, FS.scratch_path(spark, "ckpt"), PROXY_COLUMNS)

@@ -36,11 +36,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only if unset.
+    """Return the cluster's checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...)
-    and is used as given.  Only when it is unset (local tests) a fresh
-    temporary folder is taken.
+    ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...) and is used
+    as given.  A fresh temporary folder is taken only in local mode (tests,
+    bench), where one machine is the cluster; anywhere else it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="hearthlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -59,19 +59,12 @@ def _csv_reader(spark: SparkSession):
 
 
 # S05 -----------------------------------------------------------------------
-def scan_random_lines(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows, uniformly at random, seeded: a Bernoulli pre-sample
-    sized for n with margin, then the n smallest random keys."""
-    total = df.count()
-    if total <= n:
-        return df
-    frac = min(1.0, (n * 1.2 + 100) / total)
-    while True:
-        pre = df.sample(fraction=frac, seed=seed)
-        if frac >= 1.0 or pre.count() >= n:  # never fewer than n rows
-            break
-        frac = min(1.0, frac * 2)
-    return pre.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
+def scan_random_lines(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
+    """Exactly n rows (or all), seeded and independent of partitioning: the
+    rows with the smallest hashes of their key."""
+    from hearthlens.operators.ml import hash_sample
+
+    return hash_sample(df, n, key_cols, seed)
 
 
 # S10 / S11 / S12 -------------------------------------------------------------

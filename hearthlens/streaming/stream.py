@@ -17,8 +17,10 @@ from hearthlens.operators import clean as C
 from hearthlens.plans import dwelling
 
 
-def stream_files(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def stream_files(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Arriving files; all that are there in one batch unless ``max_files`` is set."""
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(path)
 
 
 def stream_clean(spark: SparkSession, src: str, schema: T.StructType, stats: C.ImputeStats,

@@ -1,5 +1,6 @@
 """Hand fixtures with expected values written by hand (edge cases)."""
 
+import pytest
 import math
 
 import pytest
@@ -187,3 +188,44 @@ def test_delimited_bad_lines(spark, tmp_path):
     df = scan_delimited(spark, str(p), sch)
     assert sorted(tuple(r) for r in df.collect()) == [(1, "x", 2.5), (2, "y", None), (4, "w", 1.0)]
     assert df.count() == 3
+
+
+def test_vif_is_infinite_for_dependent_columns(spark):
+    from hearthlens.operators import stats as ST
+    rows = [(float(i), 2.0 * i, float((i * 37) % 101), float((i * 13) % 17)) for i in range(200)]
+    got = {r["feature"]: r["vif"] for r in ST.vif(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b", "c", "d"]).collect()}
+    assert got["a"] == got["b"] == float("inf") and 1.0 <= got["c"] < 2 and 1.0 <= got["d"] < 2
+
+
+def test_leakage_and_padding(spark):
+    import pytest
+    from hearthlens.operators import select as S
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, y double")
+    assert {tuple(r) for r in S.leakage_check(df, ["y", "z"]).collect()} == {("y", True), ("z", False)}
+    with pytest.raises(ValueError, match="y"):
+        S.require_no_leakage(df, ["y"])
+    assert S.pad_features(df, {"a": 0, "b": 3}).first().asDict() == {"a": 1.0, "y": 2.0, "b": 3.0}
+
+
+def test_folds_are_even(spark):
+    from pyspark.sql import functions as F
+    from hearthlens.operators import ml
+    n = spark.range(30000).groupBy(ml.fold_column(["id"], 3).alias("f")).count().select("count").collect()
+    assert len(n) == 3 and max(r[0] for r in n) < 1.05 * min(r[0] for r in n)
+
+
+def test_cramers_v_equals_full_grid(spark):
+    import numpy as np
+    from hearthlens.operators import stats as ST
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 4, 500)
+    b = np.where(rng.random(500) < 0.5, a % 3, rng.integers(0, 3, 500))
+    df = spark.createDataFrame([(str(x), str(y), str(int(x > 1)), str(int(y > 0))) for x, y in zip(a, b)], "a string, b string, c string, d string")
+    got = {(r["col_a"], r["col_b"]): r["chi2"] for r in ST.cramers_v(df, ["a", "b", "c", "d"]).collect()}
+    for (x, y), (u, v) in {("a", "b"): (a, b), ("c", "d"): (a > 1, b > 0)}.items():
+        o = np.array([[np.sum((u == i) & (v == j)) for j in np.unique(v)] for i in np.unique(u)], float)
+        e = o.sum(1, keepdims=True) * o.sum(0, keepdims=True) / o.sum()
+        dev = np.abs(o - e)
+        if o.shape == (2, 2):
+            dev = np.maximum(dev - 0.5, 0)
+        assert got[x, y] == pytest.approx((dev**2 / e).sum())

@@ -70,33 +70,30 @@ def test_shap_additivity(spark):
 
 
 def test_counting_quantiles_equal_percentile(spark):
-    """The scalable counting path (forced with max_buffer=0) equals Spark's
-    exact percentile, globally and per group."""
+    """Counting quantiles equal Spark's exact percentile, globally and per group."""
     from hearthlens.operators import quantiles as QQ
     cl = common.clean(spark, SF_SMALL)
     cols = ["BerRating", "FabricHeatLossProxy", "HSMainSystemEfficiency"]
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    mine = QQ.column_quantiles(cl, cols, probs, max_buffer=0)
+    mine = QQ.column_quantiles(cl, cols, probs)
     ref = cl.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols]).first()
     for c in cols:
         assert np.allclose(mine[c], ref[c], rtol=1e-12, atol=1e-9)
-    g = {r[0]: r[1] for r in QQ.group_quantiles(cl, "CountyName", "BerRating", [0.5], ["m"], max_buffer=0).collect()}
+    g = {r[0]: r[1] for r in QQ.group_quantiles(cl, ["CountyName"], "BerRating", [0.5], ["m"]).collect()}
     r2 = {r[0]: r[1] for r in cl.groupBy("CountyName").agg(F.median("BerRating")).collect()}
     assert g.keys() == r2.keys() and all(abs(g[k] - r2[k]) < 1e-9 for k in g)
 
 
 def test_quantiles_hot_and_null_groups(spark):
-    """A group holding a third of all rows and a null group key: the counting
-    path (forced) equals the percentile buffer per group."""
+    """A group holding a third of all rows and a null group key."""
     from hearthlens.operators import quantiles as QQ
     rows = [("hot", float(i % 997)) for i in range(3000)] + \
            [(f"g{i % 20}", float(i) / 7.0) for i in range(6000)] + [(None, float(i)) for i in range(50)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    fast = {r["g"]: r["m"] for r in QQ.group_quantiles(df, "g", "v", [0.5], ["m"]).collect()}
-    slow = {r["g"]: r["m"] for r in QQ.group_quantiles(df, "g", "v", [0.5], ["m"], max_buffer=0).collect()}
+    mine = {r["g"]: r["m"] for r in QQ.group_quantiles(df, ["g"], "v", [0.5], ["m"]).collect()}
     ref = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
-    assert fast.keys() == slow.keys() == ref.keys()
-    assert all(abs(fast[k] - ref[k]) < 1e-9 and abs(slow[k] - ref[k]) < 1e-9 for k in ref)
+    assert mine.keys() == ref.keys() and None in mine
+    assert all(abs(mine[k] - ref[k]) < 1e-9 for k in ref)
 
 
 def test_stream_clean_equals_batch(spark):
