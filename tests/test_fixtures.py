@@ -1,6 +1,5 @@
 """Hand fixtures with expected values written by hand (edge cases)."""
 
-import pytest
 import math
 
 import pytest
