@@ -45,6 +45,14 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), BLANKS), lambda w: w != "")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of fewer rows for the session, so that wide rows (whole
+    texts, whole shingle sets) keep the Python workers small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (its columns, at most two longs);
     with ``left_anti`` those whose key is not.

@@ -115,7 +115,6 @@ def banded_distance(pattern: np.ndarray, window: np.ndarray, shift: int, width:
         best = np.where(inside, cost + ~same, big)
         frm = start
         up = np.append(cost[1:], big) + 1  # pattern character left out of the document
-        up = np.where((j >= 0) & (j <= n), up, big)
         take = up < best
         best, frm = np.where(take, up, best), np.where(take, np.append(start[1:], 0), frm)
         # document characters added: a running minimum along the band

@@ -96,10 +96,14 @@ class LicenseClassifier:
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds ``best`` (family, p): the most probable class of ``ids``."""
-        used = [float(any(r[i] for r in self.rows)) for i in range(self.dim)]
-        nz = native_lr.literal(used)
-        kept = rows.withColumn("ids", F.filter("ids", lambda i: F.get(nz, i) > 0))
-        z = kept.withColumn("z", F.array(*[native_lr.log_odds(F.col("ids"), w, b) for w, b in zip(self.rows, self.bias, strict=True)]))
+        # the few features that any class uses get numbers of their own
+        used = [i for i in range(self.dim) if any(r[i] for r in self.rows)]
+        number = [-1] * self.dim
+        for n, i in enumerate(used):
+            number[i] = n
+        short = F.split(F.lit(",".join(map(str, number))), ",").cast("array<int>")
+        kept = rows.withColumn("ids", F.filter(F.transform("ids", lambda i: F.get(short, i)), lambda i: i >= 0))
+        z = kept.withColumn("z", F.array(*[native_lr.log_odds(F.col("ids"), [w[i] for i in used], b) for w, b in zip(self.rows, self.bias, strict=True)]))
         z = z.withColumn("zmax", F.array_max("z"))
         z = z.withColumn("p", F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("zmax"))))
         names = F.array(*[F.lit(c) for c in self.classes])

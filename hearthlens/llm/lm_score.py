@@ -11,8 +11,9 @@ tables are built per hash partition by adding the lists of all blocks, joined
 back to each block's list, and the blocks sum the logarithms per document.  An
 n-gram is on a block's list once however often it occurs there, so a very
 frequent one is no hot key, and blocks and partitions keep their size as the
-corpus grows (their number grows).  Lists travel as packed arrays: about 7
-bytes an n-gram.
+corpus grows (their number grows).  Lists travel as packed arrays, about 5
+bytes an n-gram: hashes have 24 bits more than the number of words of the
+corpus (64 at most), so one n-gram in 16 million shares its hash.
 """
 
 from __future__ import annotations
@@ -22,23 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlens.llm.texthash import _PLACE, U, mix, text_chunks, word_hashes
+from hearthlens.llm.texthash import _PLACE, U, mix, pack_sorted, planes, text_chunks, unpack_sorted, unplanes, word_hashes
 from hearthlens.session import ship_package
 
 _LISTS = "ord int, part int, block long, keys binary, counts binary"
 _TOTALS = "block long, ord int, part int, totals binary"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes by significance, so that small numbers compress well."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def _unplanes(b: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
-
-
 def _block_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, offsets) of the texts of a block in row order."""
     hashes, counts = [], []
@@ -49,30 +40,32 @@ def _block_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*hashes, np.zeros(0, U)]), np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.zeros(0, np.int64)]))]).astype(np.int64)
 
 
-def _grams(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the k-gram that ends at each of the places, the places)."""
+def _grams(h: np.ndarray, off: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, of ``width`` bits, of the k-gram that ends at each of the places,
+    the places)."""
     n = np.diff(off)
     place = np.arange(len(h)) - np.repeat(off[:-1], n)
     at = np.flatnonzero(place >= k - 1)
     if k == 1:
-        return h, at
+        return h >> U(64 - width), at
     g = np.zeros(len(at), dtype=U)
     for j in range(k):
         g += h[at - (k - 1) + j] * _PLACE[j]
-    return mix(g), at
+    return mix(g) >> U(64 - width), at
 
 
-def _lists(order: int, bits: int):
+def _lists(order: int, bits: int, width: int):
     def run(key, table):
         h, off = _block_words(table)
         rows = []
         for k in range(1, order + 1):
-            keys, counts = np.unique(_grams(h, off, k)[0], return_counts=True)
-            part = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            keys, counts = np.unique(_grams(h, off, k, width)[0], return_counts=True)
+            if not len(keys):
+                continue
+            part = (keys >> U(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
-                gaps = np.diff(keys[a:b], prepend=U(0))
-                rows.append((k, int(part[a]), key[0].as_py(), _planes(gaps), _planes(counts[a:b].astype(np.uint32))))
+                rows.append((k, int(part[a]), key[0].as_py(), pack_sorted(keys[a:b]), planes(counts[a:b].astype(np.uint32))))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["ord", "part", "block", "keys", "counts"])
 
@@ -81,17 +74,17 @@ def _lists(order: int, bits: int):
 
 def _totals(key, table):
     """Adds the lists of a hash partition and gives each block its totals."""
-    keys = [np.cumsum(_unplanes(b.as_py(), U), dtype=U) for b in table.column("keys")]
-    counts = np.concatenate([_unplanes(b.as_py(), np.uint32) for b in table.column("counts")])
+    keys = [unpack_sorted(b.as_py()) for b in table.column("keys")]
+    counts = np.concatenate([unplanes(b.as_py(), np.uint32) for b in table.column("counts")])
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, weights=counts).astype(np.uint64)[inverse]
     ends = np.cumsum([len(k) for k in keys])
     n = table.num_rows
     return pa.table([table.column("block"), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()),
-                     pa.array([_planes(total[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)], pa.binary())], names=["block", "ord", "part", "totals"])
+                     pa.array([planes(total[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)], pa.binary())], names=["block", "ord", "part", "totals"])
 
 
-def _score(order: int, backoff: float, corpus: int):
+def _score(order: int, width: int, backoff: float, corpus: int):
     def run(key, docs, totals):
         h, off = _block_words(docs)
         n = np.diff(off)
@@ -102,11 +95,11 @@ def _score(order: int, backoff: float, corpus: int):
             got[o].append((p, b))
         f = np.zeros((order + 1, len(h)))  # counts in the other documents of the k-gram ending at each place
         for k in range(1, order + 1):
-            g, at = _grams(h, off, k)
+            g, at = _grams(h, off, k, width)
             if not len(g):
                 continue
             _, inverse = np.unique(g, return_inverse=True)
-            whole = np.concatenate([_unplanes(b.as_py(), np.uint64) for _, b in sorted(got[k], key=lambda x: x[0])]).astype(np.float64)
+            whole = np.concatenate([unplanes(b.as_py(), np.uint64) for _, b in sorted(got[k], key=lambda x: x[0])]).astype(np.float64)
             _, own, times = np.unique(doc[at] * len(whole) + inverse, return_inverse=True, return_counts=True)
             f[k, at] = whole[inverse] - times[own]
         # from the longest history down; an unseen word counts as half a time
@@ -144,9 +137,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     size = d.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).alias("w")).first()
     blocks = max(1, -(-int(size["b"] or 0) // block_bytes))
     bits = max(0, blocks - 1).bit_length()
+    width = min(64, int(size["w"] or 0).bit_length() + 24)
     d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
-    lists = d.groupBy("block").applyInArrow(_lists(order, bits), _LISTS)
+    lists = d.groupBy("block").applyInArrow(_lists(order, bits, width), _LISTS)
     totals = lists.groupBy("ord", "part").applyInArrow(_totals, _TOTALS)
     return (d.groupBy("block").cogroup(totals.groupBy("block"))
-            .applyInArrow(_score(order, backoff, int(size["w"] or 0)), "doc_id long, n_words long, log_score double, mean_log_score double, n_full long"))
+            .applyInArrow(_score(order, width, backoff, int(size["w"] or 0)), "doc_id long, n_words long, log_score double, mean_log_score double, n_full long"))
 

@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlens.llm.common import components, keep_ids, materialize
-from hearthlens.llm.texthash import U, mix, shingle_sets, text_chunks
+from hearthlens.llm.common import components, keep_ids, materialize, small_batches
+from hearthlens.llm.texthash import U, mix, pack_sorted, shingle_sets, text_chunks, unpack_sorted
 from hearthlens.session import ship_package
 
 SKETCH_BITS, CHUNK_BITS = 20, 14
@@ -119,7 +119,7 @@ def _prefixes(k, percent, extra, levels):
 def _whole_sets(k):
     def run(batches):
         for ids, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([pack_sorted(s) for s in sets], pa.binary())], names=["doc_id", "set"])
 
     return run
 
@@ -132,8 +132,8 @@ def _verify(percent):
             for i in range(batch.num_rows):
                 raw = x[i].as_buffer()
                 if last is None or not raw.equals(last):
-                    last, left = raw, np.frombuffer(raw, dtype=U)
-                right = np.frombuffer(y[i].as_buffer(), dtype=U)
+                    last, left = raw, unpack_sorted(raw)
+                right = unpack_sorted(y[i].as_buffer())
                 at = np.minimum(np.searchsorted(left, right), len(left) - 1)
                 inter = int((left[at] == right).sum())
                 keep.append(100 * inter >= percent * (len(left) + len(right) - inter))
@@ -170,6 +170,7 @@ def links(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFra
     """
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     prof = materialize(docs.mapInArrow(_profile(k), "kind int, doc_id long, n long, f1 long, f2 long, part binary"), "ngram-profile")
     levels = spark.sparkContext.broadcast(frequency_levels(prof.where("kind = 1").select(F.col("n").alias("chunk"), "f1", "part")))
     sizes = prof.where("kind = 0").select("doc_id", "n", "f1", "f2")
@@ -183,7 +184,7 @@ def links(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFra
     post = materialize(post.join(lists, "tok").select("tok", "rep", "n", "i", "df"), "ngram-postings")
     hubs = post.groupBy("tok").agg(F.min(F.struct("rep", "n", "i")).alias("hub")).select("tok", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"))
 
-    found = materialize(verify_pairs(docs, post.join(hubs, "tok").where((F.col("rep") != F.col("hub")) & _close(percent, 1)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), k, percent), "ngram-links")
+    found = materialize(verify_pairs(docs, post.join(hubs, "tok").where((F.col("rep") != F.col("hub")) & _close(percent, 1)).groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("c")).where("c > 1").select("a", "b"), k, percent), "ngram-links")
 
     # the lists that still hold several components, once more with another hub:
     # a member of the last component

@@ -41,6 +41,25 @@ def _powers_to(bits: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Bytes by significance, so that small numbers compress well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplanes(b: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending hashes as gaps in planes."""
+    return planes(np.diff(x, prepend=U(0)))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(b, U), dtype=U)
+
+
 def text_chunks(texts: list[str | None], limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) in runs of about ``limit`` bytes; a longer
     text is a run of its own."""

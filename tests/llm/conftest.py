@@ -1,0 +1,21 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture
+def words():
+    """A seeded source of invented texts."""
+    import random
+
+    rng = random.Random(20)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+
+    def make(n: int) -> list[str]:
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    make.rng = rng
+    return make
