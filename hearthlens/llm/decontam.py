@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlens.llm import codepoints
-from hearthlens.llm.common import keep_ids
+from hearthlens.llm.common import keep_ids, small_batches
 from hearthlens.session import ship_package
 
 _GAP = 1
@@ -221,6 +221,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
     schema = "key long, item long, start long, end long, edits long"
     found = None

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlens.llm import codepoints
+from hearthlens.llm.common import small_batches
 from hearthlens.session import ship_package
 
 UNKNOWN = "und"
@@ -138,6 +139,7 @@ class LanguageModel:
         language teach nothing.  ``key`` only chooses the sample."""
         spark = labelled.sparkSession
         ship_package(spark)
+        small_batches(spark)
         rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key), F.lit("sample")).alias("h")).where("text is not null and lang is not null")
         counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
         languages = sorted(counts)
@@ -219,6 +221,7 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     table gives no rows; other columns are ignored.
     """
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 weights a language
     return (docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
             .mapInArrow(lambda batches: shared.value.predict(batches), "key long, lang_pred string, score double").withColumnRenamed("key", "doc_id"))
@@ -228,6 +231,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text", min_sc
     """The rows of ``docs`` (all columns) whose language is known with at least
     ``min_score``; rows that would be ``und`` go."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
     return docs.mapInArrow(lambda batches: shared.value.keep(place, min_score)(batches), docs.schema)
