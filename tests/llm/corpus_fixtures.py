@@ -1,16 +1,13 @@
-import os
-import sys
+"""Fixtures shared by the tests of the corpus operators."""
 
-import pytest
+import random
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+import pytest
 
 
 @pytest.fixture
 def words():
     """A seeded source of invented texts."""
-    import random
-
     rng = random.Random(20)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(400)]
 

@@ -7,6 +7,7 @@ import hashlib
 import re
 
 import pytest
+from corpus_fixtures import words  # noqa: F401
 from pyspark.sql import functions as F
 
 from hearthlens.llm import packing, url_filter, warc

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from corpus_fixtures import words  # noqa: F401
 
 from hearthlens.llm import line_dedup, ngram_join
 

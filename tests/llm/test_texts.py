@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from corpus_fixtures import words  # noqa: F401
 from pyspark.sql import functions as F
 
 from hearthlens.llm import codepoints, decontam, language, license_scan, lm_score, spotsigs
