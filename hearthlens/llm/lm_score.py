@@ -65,7 +65,7 @@ def _lists(order: int, bits: int, width: int):
             part = (keys >> U(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
-                rows.append((k, int(part[a]), key[0].as_py(), pack_sorted(keys[a:b]), planes(counts[a:b].astype(np.uint32))))
+                rows.append((k, int(part[a]), key[0].as_py(), pack_sorted(keys[a:b]), planes((counts[a:b] - 1).astype(np.uint32))))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["ord", "part", "block", "keys", "counts"])
 
@@ -73,11 +73,12 @@ def _lists(order: int, bits: int, width: int):
 
 
 def _totals(key, table):
-    """Adds the lists of a hash partition and gives each block its totals."""
+    """Adds the lists of a hash partition and gives each block the counts of
+    the other blocks (mostly zeros, which compress well)."""
     keys = [unpack_sorted(b.as_py()) for b in table.column("keys")]
-    counts = np.concatenate([unplanes(b.as_py(), np.uint32) for b in table.column("counts")])
+    counts = np.concatenate([unplanes(b.as_py(), np.uint32) for b in table.column("counts")]).astype(np.int64) + 1
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=counts).astype(np.uint64)[inverse]
+    total = np.bincount(inverse, weights=counts).astype(np.int64)[inverse] - counts
     ends = np.cumsum([len(k) for k in keys])
     n = table.num_rows
     return pa.table([table.column("block"), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()),
@@ -98,8 +99,8 @@ def _score(order: int, width: int, backoff: float, corpus: int):
             g, at = _grams(h, off, k, width)
             if not len(g):
                 continue
-            _, inverse = np.unique(g, return_inverse=True)
-            whole = np.concatenate([unplanes(b.as_py(), np.uint64) for _, b in sorted(got[k], key=lambda x: x[0])]).astype(np.float64)
+            _, inverse, here = np.unique(g, return_inverse=True, return_counts=True)
+            whole = (np.concatenate([unplanes(b.as_py(), np.int64) for _, b in sorted(got[k], key=lambda x: x[0])]) + here).astype(np.float64)
             _, own, times = np.unique(doc[at] * len(whole) + inverse, return_inverse=True, return_counts=True)
             f[k, at] = whole[inverse] - times[own]
         # from the longest history down; an unseen word counts as half a time
