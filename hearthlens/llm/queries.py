@@ -66,7 +66,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"), shingle=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

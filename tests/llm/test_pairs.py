@@ -112,6 +112,35 @@ def test_line_dedup_equals_brute_force(spark, words):
             assert kept[d] == left
 
 
+def test_line_dedup_by_words_finds_edits_in_mid_line(spark, words):
+    rng, lines = words.rng, []
+    for _ in range(25):
+        source = words(rng.randint(1, 40))
+        lines += [source] + [edited(rng, source, rng.randint(1, 3), words) for _ in range(4)]
+    rng.shuffle(lines)
+    texts = ["\n".join(" ".join(w) for w in lines[i : i + 5]) for i in range(0, len(lines), 5)] + ["", "  \n\t"]
+    seen, want = [], set()
+    for i, w in enumerate(lines):
+        if any(close(set(w), o) for o in seen):
+            want.add((i // 5, i % 5))
+        seen.append(set(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], p) for r in line_dedup.dedup_report(df, shingle=1).collect() for p in r["removed"]}
+    assert got == want and len(want) > len([p for r in line_dedup.dedup_report(df).collect() for p in r["removed"]])
+
+
+def test_line_query_and_stage_join_on_words(spark, tmp_path):
+    import corpus_pipeline
+    from hearthlens.llm import queries
+
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(1, a, 62), (2, a.replace("six", "other"), 62)], "doc_id long, text string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op10_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in rows) == [(1, 0), (2, 1)]
+    assert [r["doc_id"] for r in corpus_pipeline.dedup_lines(spark, df, str(tmp_path)).collect()] == [1]
+
+
 def test_line_edge_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup_report(empty).collect() == [] and line_dedup.drop_lines(empty).collect() == []
