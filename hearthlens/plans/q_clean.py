@@ -197,7 +197,7 @@ def fill_by_classification(spark, sf):
     physical inputs (seeded fit: checked by properties, not SQL)."""
     d = common.clean(spark, sf).select(*DWELLING_KEY, "StructureType", "UValueWall", "UValueRoof", "FloorArea", "Year_of_Construction")
     out = C.fill_by_classification(d, "StructureType", ["UValueWall", "UValueRoof", "FloorArea", "Year_of_Construction"],
-                                   out="StructureType_filled", max_iter=50)
+                                   out="StructureType_filled", max_iter=500)
     return out.select(*DWELLING_KEY, "StructureType", "StructureType_filled")
 
 

@@ -111,11 +111,11 @@ def random_search(spark, sf, draws: int = 6, folds: int = 2, seed: int = 42):
 
 @register("M08", "kfold_cv")
 def kfold_cv(spark, sf, k: int = 5):
-    """5-fold CV on training rows; R2 on the original scale per fold, then
-    mean and population std (ddof 0) across folds."""
+    """5-fold CV of the full-size booster on training rows; R2 on the original
+    scale per fold, then mean and population std (ddof 0) across folds."""
     frame = MD.model_frame(spark, sf)
     train = frame.where(F.col("split") == "train")
-    learner = ml.gbt_regressor("label", max_iter=15, max_depth=4, max_bins=MD.MAX_BINS)
+    learner = ml.gbt_regressor("label", max_bins=MD.MAX_BINS)
     out = []
     for f in range(k):
         model = MD.regression_pipeline(learner).fit(train.where(F.col("fold") != f))
@@ -268,9 +268,10 @@ def coefficient_table(spark, sf):
 
 @register("M17", "representation_compare")
 def representation_compare(spark, sf):
-    """Accuracy of a logistic model on original vs PCA-projected features
-    (class = dwelling type), hold-out on the test split; encoder, projection
-    and model are fitted on training rows alone."""
+    """Accuracy of a logistic model and a forest on original features and on the
+    principal components that hold 90 % of the variance (class = dwelling type),
+    hold-out on the test split; encoder, projection and model are fitted on
+    training rows alone."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -278,15 +279,16 @@ def representation_compare(spark, sf):
 
     d = ST.complete_rows(common.clean(spark, sf), PCA_COLS).withColumn("split", ml.split_label(DWELLING_KEY))
     _, _, fit = ST.pca(d.where(F.col("split") == "train"), PCA_COLS)
-    d = ST.pca_scores(d, fit, 5)
+    n90 = int(np.searchsorted(np.cumsum(fit["eigen"]) / fit["eigen"].sum(), 0.9)) + 1
+    d = ST.pca_scores(d, fit, n90)
     d = StringIndexer(inputCol="DwellingTypeDescr", outputCol="y", handleInvalid="skip").fit(d.where(F.col("split") == "train")).transform(d)
     ev = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
     rows = []
-    for rep, cols in (("original", PCA_COLS), ("pca5", [f"pc{i}" for i in range(1, 6)])):
+    for rep, cols in (("original", PCA_COLS), (f"pca{n90}", [f"pc{i}" for i in range(1, n90 + 1)])):
         v = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
         tr, te = v.where(F.col("split") == "train"), v.where(F.col("split") == "test")
-        for name, est in (("logistic", LogisticRegression(labelCol="y", maxIter=50)),
-                          ("forest", RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=8, seed=42))):
+        for name, est in (("logistic", LogisticRegression(labelCol="y", maxIter=500)),
+                          ("forest", RandomForestClassifier(labelCol="y", numTrees=100, maxDepth=10, seed=42))):
             acc = ev.evaluate(est.fit(tr).transform(te))
             rows.append((rep, name, float(acc)))
     return spark.createDataFrame(rows, "representation string, model string, accuracy double")
@@ -304,7 +306,7 @@ def imputation_compare(spark, sf):
     rows = []
     for name, imp in (("median", med), ("regression", reg)):
         d = frame.join(imp, DWELLING_KEY)
-        learner = ml.forest_regressor("label", trees=20, depth=8, max_bins=MD.MAX_BINS)
+        learner = ml.forest_regressor("label", trees=50, depth=10, max_bins=MD.MAX_BINS)
         model = MD.regression_pipeline(learner).fit(d.where(F.col("split") == "train"))
         m = ml.regression_metrics(MD.predict_original(model, d.where(F.col("split") == "test")), "BerRating", "pred_ber").first()
         rows.append((name, float(m["rmse"]) ** 2, float(m["r2"])))
