@@ -10,7 +10,8 @@ of distinct k-word shingles.  Method:
    ``n - ceil(t n) + 2`` tokens.
 3. Tokens of those prefixes that few representatives have are indexed as
    single tokens.  Tokens that many have are indexed in combinations of two:
-   a linked pair shares either a rare token or two frequent ones.
+   a linked pair shares either a rare token or two frequent ones.  Sets so
+   small that one shared token may link them are indexed by single tokens.
 4. Before pairs are made inside a posting list, its members are compared with
    a hub of the list and linked members are merged into components; pairs are
    then made only between members of different components.  Links inside one
@@ -57,7 +58,7 @@ def _profile(k):
             flat = np.concatenate([*sets, np.zeros(1, dtype=U)])
             at = np.concatenate([[0], np.cumsum(n)[:-1]])
             sketch += np.bincount((flat[:-1] >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            f1, f2 = (np.where(n > 0, np.add.reduceat(mix(flat ^ U(c)), at), U(0)) for c in (0x1234567, 0x89ABCDEF01))
+            f1, f2 = (np.where(n > 0, np.add.reduceat(np.append(mix(flat[:-1] ^ U(c)), U(0)), at), U(0)) for c in (0x1234567, 0x89ABCDEF01))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), dtype=np.int32)), ids, pa.array(n), pa.array(_signed(f1)), pa.array(_signed(f2)), pa.nulls(len(n), pa.binary())],
                                              names=["kind", "doc_id", "n", "f1", "f2", "part"])
         parts = sketch.reshape(-1, 1 << CHUNK_BITS)
@@ -198,9 +199,10 @@ def links(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFra
     found = materialize(found.union(verify_pairs(docs, pairs, k, percent)).distinct(), "ngram-links")
 
     # the rest, exactly: a similar pair shares two tokens or more of its
-    # prefixes, so one of the first two is rare or both are frequent
+    # prefixes, so one of the first two is rare or both are frequent; where one
+    # shared token is enough (n + m <= 1 + 100 / percent) both sets are small
     rest = materialize(open_lists(found).select("tok", "rep", "n", "i", "df", "comp"), "ngram-rest")
-    rare = rest.where(F.col("df") <= frequent).select("tok", F.lit(0).cast("long").alias("tok2"), "rep", "n", "i", "comp")
+    rare = rest.where((F.col("df") <= frequent) | (F.col("n") * percent <= 100)).select("tok", F.lit(0).cast("long").alias("tok2"), "rep", "n", "i", "comp")
     combos = (rest.where(F.col("df") > frequent).groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_set(F.struct("i", "tok"))).alias("t"))
               .select("rep", "n", "comp", "t", F.posexplode("t").alias("at", "first"))
               .select("rep", "n", "comp", F.col("first.i").alias("i"), F.col("first.tok").alias("tok"), F.explode(F.slice("t", F.col("at") + 2, F.size("t"))).alias("second")))

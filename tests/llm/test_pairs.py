@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from corpus_fixtures import words  # noqa: F401
 
@@ -66,6 +67,23 @@ def test_ngram_components_equal_brute_force(spark, words, frequent):
     assert got == dict(enumerate(brute_components(texts)))
 
 
+def test_equal_sets_have_equal_fingerprints_wherever_they_stand():
+    texts = ["a b c d e f g", "", "z", "a b c d e f g", "x y", "z"]
+    for order in (texts, texts[::-1], texts[:4], [*texts, ""]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(order)), pa.int64()), pa.array(order)], names=["doc_id", "text"])
+        rows = next(ngram_join._profile(5)([batch])).to_pylist()
+        marks = {}
+        for t, r in zip(order, rows, strict=True):
+            marks.setdefault(t, set()).add((r["n"], r["f1"], r["f2"]))
+        assert all(len(m) == 1 for m in marks.values()) and len(set.union(*marks.values())) == len(marks)
+
+
+def test_one_token_sets_link_through_frequent_tokens(spark):
+    df = spark.createDataFrame([(0, "a b"), (1, "a"), (2, "a c")], "doc_id long, text string")
+    got = ngram_join.ngram_components(df, k=1, percent=50, frequent=1).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(0, 0), (1, 0), (2, 0)]
+
+
 def test_prefixes_hold_two_shared_tokens():
     for n in range(2, 200):
         for m in range(n, 200):
