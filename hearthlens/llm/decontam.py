@@ -234,8 +234,36 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "start", "end", "edits")
 
 
+def _keeper(shared, place: int):
+    def run_all(batches):
+        index = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for first, run in codepoints.runs(batch.column(place).to_pylist()):
+                for d, *_ in find_in_run(index, run):
+                    keep[first + d] = False
+            yield batch.filter(pa.array(keep))
+
+    return run_all
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+               q: int = 10, rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` (all columns) in whose own text no benchmark
+    passage occurs, whatever their id; see ``find_passages``."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    small_batches(spark)
+    place, out = docs.columns.index(text), docs
+    for block in blocks(benchmark, item_id, item_text, block_chars):
+        shared = spark.sparkContext.broadcast(QgramIndex(block, q, rate))
+        out = out.mapInArrow(_keeper(shared, place), docs.schema)
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark passage occurs, all columns
-    kept.  Rows without an id are searched for nothing and stay."""
+    kept, by id: rows without an id are searched for nothing and stay, rows that
+    repeat the id of a contaminated one go.  ``keep_clean`` judges each row."""
     bad = find_passages(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias(doc_id))
     return keep_ids(docs, bad, "left_anti").select(*docs.columns)

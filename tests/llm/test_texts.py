@@ -194,6 +194,20 @@ def test_passages_with_edits_are_found_and_clean_texts_left(spark, words):
     assert decontam.find_passages(df.limit(0), bench).collect() == [] and decontam.find_passages(df, bench.limit(0)).collect() == []
 
 
+def test_pipeline_stage_judges_each_row_by_its_own_text(spark, words, tmp_path):
+    import corpus_pipeline
+
+    items = [(i, " ".join(words(30))) for i in range(4)]
+    rows = [(None, "pre " + items[0][1]), (None, "clean"), (1, items[1][1] + " post"), (1, "clean too"), (2, None), (3, ""), (4, items[3][1].upper())]
+    df = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, lang string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(None, "clean", "e"), (1, "clean too", "e"), (2, None, "e"), (3, "", "e")}
+    assert {tuple(r) for r in corpus_pipeline.decontaminate(spark, df, str(tmp_path)).collect()} == want
+    got = decontam.keep_clean(df, bench, block_chars=200)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} == want
+
+
 def test_licences_are_named_and_lookalikes_left(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = license_scan.LicenseClassifier.fit(spark, docs, sample=300)
