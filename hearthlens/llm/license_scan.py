@@ -54,9 +54,9 @@ def features(words: Column, dim: int) -> Column:
 
 def training_table(spark: SparkSession, docs: DataFrame, text: str, sample: int) -> DataFrame:
     """(paragraph, family, part): the templates in several settings, and as
-    class ``none`` the lookalikes and ``sample`` paragraphs of the corpus free
-    of licence words (those with the smallest hashes; the bound of the
-    classifier's labelled sample).  part 1 is held back for calibration."""
+    class ``none`` the lookalikes and ``sample`` different paragraphs of the
+    corpus free of licence words (those with the smallest hashes; the bound of
+    the classifier's labelled sample).  part 1 is held back for calibration."""
     rows = []
     for family, texts in TEMPLATES.items():
         for i, t in enumerate(texts):
@@ -65,7 +65,10 @@ def training_table(spark: SparkSession, docs: DataFrame, text: str, sample: int)
     fixed = spark.createDataFrame(rows, "paragraph string, family string, part int")
     lines = docs.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("paragraph")).where("length(paragraph) > 0")
     free = lines.where(~F.lower("paragraph").rlike(r"licen|copyright|permission|rights reserved|spdx|gpl|public domain|cc by"))
-    picked = free.select("paragraph", F.xxhash64("paragraph").alias("h")).orderBy("h", "paragraph").limit(sample)
+    # the hashes alone are made distinct, so that no text is shuffled for it
+    free = free.select("paragraph", F.xxhash64("paragraph").alias("h"))
+    least = [r["h"] for r in free.select("h").distinct().orderBy("h").limit(sample).collect()]
+    picked = free.where(F.col("h").isin(least)).groupBy("h").agg(F.min("paragraph").alias("paragraph"))
     return fixed.unionByName(picked.select("paragraph", F.lit(NONE).alias("family"), F.pmod("h", F.lit(3)).cast("int").alias("m"))
                              .select("paragraph", "family", F.when(F.col("m") == 0, 1).otherwise(0).alias("part")))
 

@@ -208,6 +208,14 @@ def test_pipeline_stage_judges_each_row_by_its_own_text(spark, words, tmp_path):
     assert got.columns == df.columns and {tuple(r) for r in got.collect()} == want
 
 
+def test_licence_sample_takes_different_paragraphs(spark):
+    lines = [f"prose number {i}" for i in range(60)]
+    df = spark.createDataFrame([("\n".join(lines + lines[:30] * 40),)] * 3, "text string")
+    table = license_scan.training_table(spark, df, "text", 50).where("family = 'none' and paragraph like 'prose number%'")
+    got = [r["paragraph"] for r in table.collect()]
+    assert len(got) == len(set(got)) == 50
+
+
 def test_licences_are_named_and_lookalikes_left(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = license_scan.LicenseClassifier.fit(spark, docs, sample=300)
