@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlens.llm.common import words_of
+from hearthlens.llm.common import materialize, words_of
 from hearthlens.session import ship_package
 
 
@@ -97,7 +97,13 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text))
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048, shard_pieces: int = 4096) -> DataFrame:
-    """``pack`` with words as tokens, and documents of equal text as a cluster."""
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048, shard_pieces: int = 4096,
+                   clusters: DataFrame | None = None) -> DataFrame:
+    """``pack`` with words as tokens.  ``clusters`` (doc_id, cluster; one row an
+    id) names the duplicate cluster of each document; documents without one,
+    and all where it is not given, form a cluster with those of equal text."""
     sized = docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text).cast("string")).alias("n"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text).cast("string")).alias("cluster"))
+    if clusters is not None:
+        named = clusters.select("doc_id", F.col("cluster").alias("named"))
+        sized = materialize(sized.join(named, "doc_id", "left").select("doc_id", "n", "source", F.coalesce("named", "cluster").alias("cluster")), "packing-sizes")
     return pack(sized, F.col("n"), F.col("source"), F.col("cluster"), "doc_id", capacity, shard_pieces)

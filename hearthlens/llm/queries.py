@@ -54,7 +54,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    near = ngram_join.ngram_components(docs).groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
+    return packing.pack_documents(docs, clusters=near)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,18 @@ def test_one_token_sets_link_through_frequent_tokens(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(0, 0), (1, 0), (2, 0)]
 
 
+def test_packing_query_keeps_near_copies_apart(spark, words, tmp_path):
+    from hearthlens.llm import queries
+
+    source = words(40)
+    texts = [" ".join(source[:-1] + [f"end{i}"]) for i in range(12)] + [" ".join(words(40)) for _ in range(12)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts)] + [(None, texts[20], "s30")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {r["doc_id"]: r["bin_id"] for r in queries.op7_packing(spark, str(tmp_path)).collect()}
+    assert set(bins) == {i for i, _, _ in rows}
+    assert len({bins[i] for i in range(12)}) == 12 and len(set(bins.values())) == 12
+
+
 def test_prefixes_hold_two_shared_tokens():
     for n in range(2, 200):
         for m in range(n, 200):
