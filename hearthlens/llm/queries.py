@@ -1,4 +1,4 @@
-"""Registered queries of the ten corpus operators, and their SQL."""
+"""Registered queries of the corpus operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlens.llm import decontam, language, license_scan, line_dedup, lm_score, ngram_join, packing, spotsigs, url_filter, warc
+from hearthlens.llm import decontam, filter_audit, language, license_scan, line_dedup, lm_score, ngram_join, packing, spotsigs, url_filter, warc
 from hearthlens.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"), shingle=1)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_lm_score": op2_lm_score,
@@ -82,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op12_filter_audit": filter_audit.SQL}
