@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlens.llm import decontam, filter_audit, language, license_scan, line_dedup, lm_score, ngram_join, packing, spotsigs, url_filter, warc
+from hearthlens.llm import decontam, filter_audit, language, license_scan, line_dedup, lm_score, ngram_join, packing, spotsigs, token_alignment, url_filter, warc
 from hearthlens.llm.common import table
 
 
@@ -75,6 +75,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_lm_score": op2_lm_score,
@@ -87,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op12_filter_audit": filter_audit.SQL}
