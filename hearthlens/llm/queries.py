@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlens.llm import decontam, filter_audit, language, license_scan, line_dedup, lm_score, ngram_join, packing, spotsigs, token_alignment, url_filter, warc
+from hearthlens.llm import decontam, filter_audit, language, license_scan, line_dedup, lm_score, ngram_join, packing, spotsigs, token_alignment, topk_search, url_filter, warc
 from hearthlens.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"), shingle=1)
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -90,7 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
+    "op11_topk_search": op11_topk_search,
     "op12_filter_audit": op12_filter_audit,
     "op13_token_alignment": op13_token_alignment,
 }
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op12_filter_audit": filter_audit.SQL}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op11_topk_search": topk_search.SQL, "op12_filter_audit": filter_audit.SQL}
