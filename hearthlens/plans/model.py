@@ -55,10 +55,21 @@ def fit_gbt(train: DataFrame, max_iter: int = 30, max_depth: int = 5, use_valida
     return regression_pipeline(learner).fit(train)
 
 
+def prepared(frame: DataFrame, cat=CAT_FEATURES, num=NUM_FEATURES) -> tuple[PipelineModel, DataFrame]:
+    """Encoders fitted on training rows, and the frame with its feature vector,
+    role (the split) and row hash: what every learner of a query shares."""
+    enc = Pipeline(stages=ml.feature_pipeline(cat, num)).fit(frame.where(F.col("split") == "train"))
+    return enc, enc.transform(frame).withColumns({"role": F.col("split"), "row_hash": F.xxhash64(*DWELLING_KEY)})
+
+
 def predict_original(model: PipelineModel, df: DataFrame, out: str = "pred_ber") -> DataFrame:
     """Score and back-transform: expm1, clipped at 0.  Numeric features that a
     table lacks are padded with 0."""
-    return model.transform(S.pad_features(df, dict.fromkeys(NUM_FEATURES, 0.0))).withColumn(out, fx.expm1_clipped("prediction"))
+    return back_transformed(model.transform(S.pad_features(df, dict.fromkeys(NUM_FEATURES, 0.0))), out)
+
+
+def back_transformed(scored: DataFrame, out: str = "pred_ber") -> DataFrame:
+    return scored.withColumn(out, fx.expm1_clipped("prediction"))
 
 
 def split_metrics(scored: DataFrame, label: str = "BerRating", prediction: str = "pred_ber") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hearthlens.functions import features as fx
 from hearthlens.operators import ml
 from hearthlens.operators import stats as ST
+from hearthlens.operators.boosting import BoostParams, boost, boost_folds
 from hearthlens.plans import common, model as MD
 from hearthlens.plans.oracle import grade_sql, with_clean
 from hearthlens.plans.q_clean import FORMULA_SCORE, formula_score
@@ -34,30 +35,42 @@ def _train_val(frame):
     return frame.where(F.col("split") != "test")
 
 
+#: the reference's sizes: upper limits, 50 rounds without gain end the loop
+REGRESSOR = BoostParams(rounds=1500, depth=8, step=0.08, min_leaf=100, row_share=0.9, column_share=0.8, max_bins=MD.MAX_BINS)
+CLASSIFIER = BoostParams(rounds=800, depth=7, step=0.08, min_leaf=100, row_share=0.85, column_share=0.8, max_bins=MD.MAX_BINS, loss="logistic", min_gain=0.01)
+ALTERNATIVE = BoostParams(rounds=1000, depth=6, step=0.05, min_leaf=10, row_share=0.8, column_share=0.8, max_bins=MD.MAX_BINS)
+
+
+def _boosted_metrics(spark, sf, params):
+    _, ready = MD.prepared(MD.model_frame(spark, sf))
+    fit = boost(ready, params)
+    m = MD.split_metrics(MD.back_transformed(fit.model.transform(ready)))
+    return m.withColumns({"best_round": F.lit(fit.best_round), "rounds": F.lit(len(fit.losses["validation"]))})
+
+
 @register("M02", "gbt_regressor")
-def gbt_regressor(spark, sf):
-    """Boosted trees on the log target; validation rows drive the stopping
-    tolerance and are not trained on; metrics on the original scale."""
-    frame = MD.model_frame(spark, sf)
-    model = MD.fit_gbt(_train_val(frame))
-    return MD.split_metrics(MD.predict_original(model, frame))
+def gbt_regressor(spark, sf, params: BoostParams = REGRESSOR):
+    """Boosted trees on the log target; validation rows stop the rounds and are
+    not trained on; metrics on the original scale."""
+    return _boosted_metrics(spark, sf, params)
 
 
 @register("M03", "gbt_classifier")
-def gbt_classifier(spark, sf):
+def gbt_classifier(spark, sf, params: BoostParams = CLASSIFIER):
     frame = MD.model_frame(spark, sf)
-    tr = ml.class_weight_column(frame.where(F.col("split") == "train"), "is_retrofitted", "w")
-    learner = ml.gbt_classifier("clf_label", weight="w", max_iter=20, max_depth=4, max_bins=MD.MAX_BINS)
     feats = [c for c in MD.NUM_FEATURES if c not in ("HasRoofInsulation", "HasWallInsulation", "HasSolarWaterHeating")]
-    model = MD.regression_pipeline(learner, num=feats).fit(tr)
+    _, ready = MD.prepared(frame, num=feats)
+    counts = ready.where(F.col("role") == "train").agg(F.sum("clf_label").alias("pos"), F.count("clf_label").alias("n")).first()
+    ready = ready.withColumn("w", F.when(F.col("clf_label") == 1, (counts["n"] - counts["pos"]) / max(counts["pos"], 1)).otherwise(1.0))
+    fit = boost(ready, params, label="clf_label", weight="w")
     from pyspark.ml.functions import vector_to_array
-    te = (model.transform(frame.where(F.col("split") == "test"))
+    te = (fit.model.transform(ready.where(F.col("split") == "test"))
           .withColumn("score", vector_to_array("probability")[1])
           .withColumn("label01", F.col("is_retrofitted").cast("int")))
     auc = ml.roc_auc(te, "label01", "score").select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
     ap = ml.average_precision(te, "label01", "score").select(F.lit("average_precision").alias("metric"),
                                                             F.col("average_precision").alias("value"))
-    return auc.unionByName(ap)
+    return auc.unionByName(ap).unionByName(spark.createDataFrame([("best_round", float(fit.best_round))], "metric string, value double"))
 
 
 @register("M04", "forest_regressor")
@@ -80,12 +93,9 @@ def ridge_pipeline(spark, sf):
 
 
 @register("M06", "gbt_alternative")
-def gbt_alternative(spark, sf):
-    """A second booster setting for comparison (deeper, slower learning rate)."""
-    frame = MD.model_frame(spark, sf)
-    learner = ml.gbt_regressor("label", max_iter=30, max_depth=6, step=0.05, max_bins=MD.MAX_BINS)
-    model = MD.regression_pipeline(learner).fit(frame.where(F.col("split") == "train"))
-    return MD.split_metrics(MD.predict_original(model, frame))
+def gbt_alternative(spark, sf, params: BoostParams = ALTERNATIVE):
+    """A second booster setting for comparison (shallower, slower, smaller leaves)."""
+    return _boosted_metrics(spark, sf, params)
 
 
 @register("M07", "random_search")
@@ -110,21 +120,18 @@ def random_search(spark, sf, draws: int = 6, folds: int = 2, seed: int = 42):
 
 
 @register("M08", "kfold_cv")
-def kfold_cv(spark, sf, k: int = 5):
-    """5-fold CV of the full-size booster on training rows; R2 on the original
-    scale per fold, then mean and population std (ddof 0) across folds."""
-    frame = MD.model_frame(spark, sf)
-    train = frame.where(F.col("split") == "train")
-    learner = ml.gbt_regressor("label", max_bins=MD.MAX_BINS)
+def kfold_cv(spark, sf, k: int = 5, params: BoostParams = REGRESSOR):
+    """k-fold CV of the full-size booster on training rows (validation rows stop
+    the rounds); R2 on the original scale per fold, then mean and population
+    std (ddof 0) across folds as folds -1 and -2."""
+    _, ready = MD.prepared(MD.model_frame(spark, sf).withColumn("fold", ml.fold_column(DWELLING_KEY, k)))
     out = []
-    for f in range(k):
-        model = MD.regression_pipeline(learner).fit(train.where(F.col("fold") != f))
-        scored = MD.predict_original(model, train.where(F.col("fold") == f))
-        r2 = ml.regression_metrics(scored, "BerRating", "pred_ber").first()["r2"]
-        out.append((f, float(r2)))
-    arr = np.array([r for _, r in out])
-    rows = out + [(-1, float(arr.mean())), (-2, float(arr.std()))]
-    return spark.createDataFrame(rows, "fold int, r2 double")
+    for f, fit in enumerate(boost_folds(ready, k, params, parallel=k)):
+        scored = MD.back_transformed(fit.model.transform(ready.where((F.col("role") == "train") & (F.col("fold") == f))))
+        out.append((f, float(ml.regression_metrics(scored, "BerRating", "pred_ber").first()["r2"]), fit.best_round))
+    arr = np.array([r for _, r, _ in out])
+    rows = [*out, (-1, float(arr.mean()), None), (-2, float(arr.std()), None)]
+    return spark.createDataFrame(rows, "fold int, r2 double, best_round int")
 
 
 SCORE_SQL = f"({FORMULA_SCORE})"
@@ -244,14 +251,13 @@ def learning_curve(spark, sf, sizes=(10, 20, 35, 50, 65, 80, 90, 100), folds: in
 
 
 @register("M15", "loss_curve")
-def loss_curve(spark, sf):
-    frame = MD.model_frame(spark, sf)
-    model = MD.fit_gbt(_train_val(frame), use_validation=False)
-    gbt = model.stages[-1]
-    prepared = PipelineModel(model.stages[:-1]).transform(frame)
-    rows = [(split, i + 1, float(np.sqrt(loss))) for split in ("train", "validation", "test")
-            for i, loss in enumerate(gbt.evaluateEachIteration(prepared.where(F.col("split") == split), "squared"))]
-    return spark.createDataFrame(rows, "split string, round int, rmse double")
+def loss_curve(spark, sf, params: BoostParams = REGRESSOR):
+    """RMSE (log target) of every round that was run, from the boosting loop's
+    own losses; ``best`` marks the round that the model keeps."""
+    _, ready = MD.prepared(MD.model_frame(spark, sf))
+    fit = boost(ready, params)
+    rows = [(split, i, float(np.sqrt(x)), i == fit.best_round) for split in ("train", "validation", "test") for i, x in enumerate(fit.losses.get(split, []), 1)]
+    return spark.createDataFrame(rows, "split string, round int, rmse double, best boolean")
 
 
 @register("M16", "coefficient_table")
