@@ -376,44 +376,15 @@ def variance_gain(df: DataFrame, cols: Sequence[str], cat: str, k: int = 5) -> D
 
 # A11 -----------------------------------------------------------------------
 def lda(df: DataFrame, cols: Sequence[str], label: str):
-    """Fisher discriminant axes: per-class counts, means and cross products
-    in one grouped pass; within/between scatter and the generalised eigen
-    problem (whitened) on the driver."""
+    """Fisher discriminant axes from the centred moments of the classes (one
+    pass); the generalised eigenproblem is p x p, on the driver."""
+    from hearthlens.operators import moments as mo
+
     cols = list(cols)
-    d = complete_rows(df, cols + [label])
-    p = len(cols)
-    exprs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
-    for i in range(p):
-        for j in range(i, p):
-            exprs.append(F.sum(F.col(cols[i]).cast("double") * F.col(cols[j]).cast("double")).alias(f"x{i}_{j}"))
-    rows = d.groupBy(label).agg(*exprs).collect()  # one row per class: bounded by the class count
-    N = sum(r["n"] for r in rows)
-    mu = sum(np.array([r[f"s{i}"] for i in range(p)]) for r in rows) / N
-    Sw = np.zeros((p, p))
-    Sb = np.zeros((p, p))
-    for r in rows:
-        nc = r["n"]
-        mc = np.array([r[f"s{i}"] for i in range(p)]) / nc
-        X = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                X[i, j] = X[j, i] = r[f"x{i}_{j}"]
-        Sw += X - nc * np.outer(mc, mc)
-        Sb += nc * np.outer(mc - mu, mc - mu)
-    ew, ev = np.linalg.eigh(Sw)
-    ew[ew < 1e-12] = 1e-12
-    W = ev @ np.diag(ew ** -0.5) @ ev.T
-    lam, U = np.linalg.eigh(W @ Sb @ W)
-    order = np.argsort(lam)[::-1]
-    lam, U = lam[order], U[:, order]
-    m = min(p, len(rows) - 1)
-    axes = W @ U[:, :m]
-    lam = np.clip(lam[:m], 0, None)
+    by_class = mo.grouped_moments(complete_rows(df, cols + [label]), cols, [label])
+    lam, axes = mo.discriminants(by_class.values())
     share = lam / lam.sum() if lam.sum() > 0 else lam
-    for j in range(m):
-        i = int(np.argmax(np.abs(axes[:, j])))
-        if axes[i, j] < 0:
-            axes[:, j] = -axes[:, j]
+    m = len(lam)
     spark = df.sparkSession
     expl = _long(spark, [(j + 1, float(lam[j]), float(share[j])) for j in range(m)],
                  "axis int, eigenvalue double, share double")

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthlens.functions import features as fx
 from hearthlens.operators import ml
+from hearthlens.operators import moments as MO
 from hearthlens.operators import stats as ST
 from hearthlens.operators.boosting import BoostParams, boost, boost_folds
 from hearthlens.plans import common, model as MD
@@ -20,7 +23,7 @@ from hearthlens.plans.oracle import grade_sql, with_clean
 from hearthlens.plans.q_clean import FORMULA_SCORE, formula_score
 from hearthlens.plans.q_select import SPLIT_SQL
 from hearthlens.plans.registry import register
-from hearthlens.session import ensure_checkpoint_dir
+from hearthlens.session import cut_lineage, ensure_checkpoint_dir
 from hearthlens.sources.tables import DWELLING_KEY
 
 K = ", ".join(DWELLING_KEY)
@@ -63,7 +66,6 @@ def gbt_classifier(spark, sf, params: BoostParams = CLASSIFIER):
     counts = ready.where(F.col("role") == "train").agg(F.sum("clf_label").alias("pos"), F.count("clf_label").alias("n")).first()
     ready = ready.withColumn("w", F.when(F.col("clf_label") == 1, (counts["n"] - counts["pos"]) / max(counts["pos"], 1)).otherwise(1.0))
     fit = boost(ready, params, label="clf_label", weight="w")
-    from pyspark.ml.functions import vector_to_array
     te = (fit.model.transform(ready.where(F.col("split") == "test"))
           .withColumn("score", vector_to_array("probability")[1])
           .withColumn("label01", F.col("is_retrofitted").cast("int")))
@@ -81,15 +83,24 @@ def forest_regressor(spark, sf):
     return MD.split_metrics(MD.predict_original(model, frame))
 
 
+def _ridge_ready(frame):
+    """Prepared frame with the feature vector as an array ``x``."""
+    enc, ready = MD.prepared(frame)
+    names = [s for s in enc.stages if s.__class__.__name__ == "VectorAssembler"][0].getInputCols()
+    return [n.replace("__idx", "").replace("__imp", "") for n in names], ready.withColumn("x", vector_to_array("features"))
+
+
+def _with_label(x="x", *labels):
+    return F.concat(F.col(x), F.array(*(F.col(c).cast("double") for c in labels or ("label",))))
+
+
 @register("M05", "ridge_pipeline")
 def ridge_pipeline(spark, sf):
-    """Median impute -> ordinal encode -> scale -> ridge (alpha = 1 in the
-    sklearn scale, i.e. regParam = alpha / n)."""
-    frame = MD.model_frame(spark, sf)
-    train = frame.where(F.col("split") == "train")
-    n = train.count()
-    model = MD.regression_pipeline(ml.ridge("label", alpha=1.0, n_rows=n), scale=True).fit(train)
-    return MD.split_metrics(MD.predict_original(model, frame))
+    """Median impute -> ordinal encode -> scale -> ridge (alpha = 1), solved
+    from the training rows' moments."""
+    names, ready = _ridge_ready(MD.model_frame(spark, sf))
+    fit = MO.ridge_fit(MO.grouped_moments(ready.where(F.col("split") == "train"), _with_label(), width=len(names) + 1)[()])
+    return MD.split_metrics(MD.back_transformed(ready.withColumn("prediction", fit.column(F.col("x")))))
 
 
 @register("M06", "gbt_alternative")
@@ -233,20 +244,30 @@ def _count_splits(node, acc):
 
 @register("M14", "learning_curve")
 def learning_curve(spark, sf, sizes=(10, 20, 35, 50, 65, 80, 90, 100), folds: int = 3):
-    """Metric vs training size: nested hash samples (bucket < size%) x 3 folds."""
-    frame = MD.model_frame(spark, sf)
-    train = (frame.where(F.col("split") != "test").withColumn("b", ml.split_bucket(DWELLING_KEY[::-1]))
-             .withColumn("cv_fold", ml.fold_column(DWELLING_KEY, folds)))
-    rows = []
-    for f in range(folds):
-        val = train.where(F.col("cv_fold") == f)
-        fit_pool = train.where(F.col("cv_fold") != f)
-        for s in sizes:
-            part = fit_pool.where(F.col("b") < s)
-            n = part.count()
-            model = MD.regression_pipeline(ml.ridge("label", 1.0, n), scale=True).fit(part)
-            r2, train_r2 = (ml.regression_metrics(MD.predict_original(model, x), "BerRating", "pred_ber").first()["r2"] for x in (val, part))
-            rows.append((int(s), f, int(n), float(r2), float(train_r2)))
+    """Metric vs training size: nested hash samples (bucket < size%) x 3 folds.
+
+    One pass gives the moments of every (fold, size band); each of the fits is
+    a sum of those.  A second pass scores all fits on all bands."""
+    train = (MD.model_frame(spark, sf).where(F.col("split") != "test").withColumn("b", ml.split_bucket(DWELLING_KEY[::-1]))
+             .withColumns({"cv_fold": ml.fold_column(DWELLING_KEY, folds), "band": sum((F.when(F.col("b") >= s, 1).otherwise(0) for s in sizes), F.lit(0)).cast("int")}))
+    names, ready = _ridge_ready(train)
+    p = len(names)
+    by = MO.grouped_moments(ready, _with_label("x", "label", "BerRating"), ["cv_fold", "band"], width=p + 2)
+
+    def part(f, i):
+        return [k for k in by if k[0] != f and k[1] <= i]
+
+    def without_rating(m):
+        return MO.Moments(m.n, m.mean[:-1], m.m2[:-1, :-1])
+
+    plans = [(f, i) for f in range(folds) for i in range(len(sizes))]
+    models = [MO.ridge_fit(without_rating(MO.total(by[k] for k in part(f, i)))) for f, i in plans]
+    sse = MO.squared_errors(ready, models, F.col("x"), F.col("BerRating"), ["cv_fold", "band"], back=True)
+
+    def r2(keys, at):
+        return float(1 - sum(sse[k][at] for k in keys) / MO.total(by[k] for k in keys).m2[-1, -1])
+
+    rows = [(int(sizes[i]), f, int(sum(by[k].n for k in part(f, i))), r2([k for k in by if k[0] == f], at), r2(part(f, i), at)) for at, (f, i) in enumerate(plans)]
     return spark.createDataFrame(rows, "size_pct int, fold int, train_rows long, r2 double, train_r2 double")
 
 
@@ -262,42 +283,54 @@ def loss_curve(spark, sf, params: BoostParams = REGRESSOR):
 
 @register("M16", "coefficient_table")
 def coefficient_table(spark, sf):
-    frame = MD.model_frame(spark, sf)
-    train = frame.where(F.col("split") == "train")
-    model = MD.regression_pipeline(ml.ridge("label", 1.0, train.count()), scale=True).fit(train)
-    names = [s for s in model.stages if s.__class__.__name__ == "VectorAssembler"][0].getInputCols()
-    coef = model.stages[-1].coefficients.toArray()
-    rows = [(n.replace("__idx", "").replace("__imp", ""), float(c)) for n, c in zip(names, coef)]
-    df = spark.createDataFrame(rows, "feature string, coefficient double")
+    names, ready = _ridge_ready(MD.model_frame(spark, sf))
+    fit = MO.ridge_fit(MO.grouped_moments(ready.where(F.col("split") == "train"), _with_label(), width=len(names) + 1)[()])
+    df = spark.createDataFrame([(n, float(c)) for n, c in zip(names, fit.coef)], "feature string, coefficient double")
     return df.withColumn("rank", F.rank().over(Window.orderBy(F.desc(F.abs("coefficient")))))
 
 
 @register("M17", "representation_compare")
-def representation_compare(spark, sf):
-    """Accuracy of a logistic model and a forest on original features and on the
-    principal components that hold 90 % of the variance (class = dwelling type),
-    hold-out on the test split; encoder, projection and model are fitted on
-    training rows alone."""
+def representation_compare(spark, sf, folds: int = 5, iterations: int = 500, trees: int = 100, depth: int = 10):
+    """Accuracy (mean and population std over folds) of a logistic model and a
+    forest on original features, on the principal components that hold 90 % of
+    the variance and on the discriminant axes (class = dwelling type).
+
+    One pass gives the moments of every (fold, class); the components and axes
+    of a fold come from those of the other folds, as do the models."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from hearthlens.plans.q_stats import PCA_COLS
 
-    d = ST.complete_rows(common.clean(spark, sf), PCA_COLS).withColumn("split", ml.split_label(DWELLING_KEY))
-    _, _, fit = ST.pca(d.where(F.col("split") == "train"), PCA_COLS)
-    n90 = int(np.searchsorted(np.cumsum(fit["eigen"]) / fit["eigen"].sum(), 0.9)) + 1
-    d = ST.pca_scores(d, fit, n90)
-    d = StringIndexer(inputCol="DwellingTypeDescr", outputCol="y", handleInvalid="skip").fit(d.where(F.col("split") == "train")).transform(d)
+    d = ST.complete_rows(common.clean(spark, sf), [*PCA_COLS, "DwellingTypeDescr"]).withColumn("fold", ml.fold_column(DWELLING_KEY, folds))
+    d = StringIndexer(inputCol="DwellingTypeDescr", outputCol="y", handleInvalid="skip").fit(d).transform(d).select("fold", "y", *(F.col(c).cast("double").alias(c) for c in PCA_COLS))
+    d = cut_lineage(d)
+    by = MO.grouped_moments(d, PCA_COLS, ["fold", "y"])
     ev = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
+
+    def one(f):
+        classes = [MO.total(by[k] for k in by if k[0] != f and k[1] == c) for c in {c for g, c in by if g != f}]
+        whole = MO.total(classes)
+        w, v = MO.components(whole)
+        n90 = int(np.searchsorted(np.cumsum(w) / w.sum(), 0.9)) + 1
+        _, axes = MO.discriminants(classes)
+        out = []
+        for rep, cols in (("original", [F.col(c) for c in PCA_COLS]), ("pca90", MO.project(PCA_COLS, whole.mean, v[:, :n90])), ("lda", MO.project(PCA_COLS, whole.mean, axes))):
+            named = d.select("fold", "y", *(c.alias(f"x{i}") for i, c in enumerate(cols)))
+            v_ = VectorAssembler(inputCols=[f"x{i}" for i in range(len(cols))], outputCol="features").transform(named)
+            tr, te = v_.where(F.col("fold") != f), v_.where(F.col("fold") == f)
+            for name, est in (("logistic", LogisticRegression(labelCol="y", maxIter=iterations)), ("forest", RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=42))):
+                out.append((rep, name, len(cols), float(ev.evaluate(est.fit(tr).transform(te)))))
+        return out
+
+    with ThreadPoolExecutor(folds) as pool:
+        each = list(pool.map(one, range(folds)))
     rows = []
-    for rep, cols in (("original", PCA_COLS), (f"pca{n90}", [f"pc{i}" for i in range(1, n90 + 1)])):
-        v = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
-        tr, te = v.where(F.col("split") == "train"), v.where(F.col("split") == "test")
-        for name, est in (("logistic", LogisticRegression(labelCol="y", maxIter=500)),
-                          ("forest", RandomForestClassifier(labelCol="y", numTrees=100, maxDepth=10, seed=42))):
-            acc = ev.evaluate(est.fit(tr).transform(te))
-            rows.append((rep, name, float(acc)))
-    return spark.createDataFrame(rows, "representation string, model string, accuracy double")
+    for rep, name in dict.fromkeys((r, n) for r, n, _, _ in each[0]):
+        got = [(k, a) for x in each for r, n, k, a in x if (r, n) == (rep, name)]
+        acc = np.array([a for _, a in got])
+        rows.append((rep, name, max(k for k, _ in got), float(acc.mean()), float(acc.std())))
+    return spark.createDataFrame(rows, "representation string, model string, columns int, accuracy double, accuracy_std double")
 
 
 @register("M18", "imputation_compare")
