@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthlens.session import cut_lineage
+
 from hearthlens.operators.clean import numeric_columns, string_columns
 
 MAX_EXPRS = 120
@@ -178,12 +180,13 @@ def near_zero_variance_num(df: DataFrame, cols: Sequence[str] | None = None, lim
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """count, mean, std (ddof 1), min, quartiles (linear interpolation), max.
 
-    Moments in one aggregate; exact quartiles of all columns in one
-    distributed counting pass (``quantiles.column_quantiles``), or
+    Moments in one aggregate; exact quartiles of all columns by sketched
+    brackets (``quantiles.column_quantiles``), or
     ``percentile_approx`` with ``approx``."""
     from hearthlens.operators.quantiles import column_quantiles
 
     cols = list(cols or numeric_columns(df))
+    df = cut_lineage(df.select(*cols))  # the moments and the quantiles read it, the plan above runs once
     mom = _wide_to_long(df, {
         "count": lambda c: F.count(F.col(c)),
         "mean": lambda c: F.avg(F.col(c)),

@@ -56,6 +56,39 @@ def test_quantiles_equal_percentile(big):
     assert all(mine[k] == pytest.approx(ref[k], rel=1e-12) for k in ref)
 
 
+def test_quantiles_when_a_sketch_misses_or_brackets_are_full(big, monkeypatch):
+    df = big.where("id < 60000").withColumn("w", F.when(F.col("id") % 4 == 0, F.lit(5.0)).when(F.col("id") % 1000 == 1, F.lit(float("nan"))).otherwise(F.col("v") % 100))
+    probs = [0.1, 0.25, 0.26, 1.0]
+    ref = {r["g"]: r["q"] for r in df.where(~F.isnan("w")).groupBy("g").agg(F.percentile("w", F.array(*map(F.lit, probs))).alias("q")).collect()}
+
+    def same():
+        got = {r["g"]: r["q"] for r in Q.quantile_frame(df, ["g"], "w", probs).collect()}
+        assert got.keys() == ref.keys() and all(got[k] == pytest.approx(ref[k], rel=1e-12) for k in ref)
+
+    def never(*_):
+        raise AssertionError("a sketch missed")
+
+    with monkeypatch.context() as m:  # neither form needs the second way here
+        m.setattr(Q, "_by_counting", never)
+        same()
+        cols = Q.column_quantiles(df, ["w", "v"], probs)
+        assert cols["w"] == pytest.approx(df.where(~F.isnan("w")).agg(F.percentile("w", F.array(*map(F.lit, probs)))).first()[0], rel=1e-12)
+    monkeypatch.setattr(Q, "WINDOW_VALUES", 10)  # range buckets
+    monkeypatch.setattr(Q, "BROADCAST_GROUPS", 1)
+    same()
+    monkeypatch.setattr(Q, "SMALL", 50)
+    monkeypatch.setattr(Q, "MARGIN", -0.06)  # every bracket misses its rank
+    same()
+
+
+def test_column_quantiles_of_odd_columns(spark):
+    df = spark.createDataFrame([(1.0, None, 5, float("nan")), (3.0, None, 5, -0.0), (None, None, 7, 0.0)], "a double, b double, c int, d double")
+    got = Q.column_quantiles(df, ["a", "b", "c", "d"], [0.0, 0.5, 0.9])
+    assert got == {"a": [1.0, 2.0, pytest.approx(2.8)], "b": [None] * 3, "c": [5.0, 5.0, pytest.approx(6.6)], "d": [0.0, 0.0, 0.0]}
+    assert Q.column_quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+    assert Q.quantile_frame(df.limit(0), ["c"], "a", [0.5]).count() == 0
+
+
 def test_group_mean_median_keeps_the_null_group(big):
     out = {r["g"]: r for r in R.group_mean_median_count(big, ["g"], "v").collect()}
     assert out[None]["median"] is not None
