@@ -141,13 +141,16 @@ def find_in_run(index: QgramIndex, run: list[str]):
     edits = np.array(index.edits)[item]
     need = np.array([len(t) for t in index.texts])[item] + 1 - index.q * (edits + 1)
     width = edits + 1
-    diag = pos - place + len(f)
+    # diagonals are counted from the start of the text and bands are kept by
+    # text: what stands beside a text in the run changes nothing
+    far = max(map(len, index.texts))
+    diag = pos - starts[doc] - place + far
     regions: dict[tuple[int, int], set[tuple[int, int]]] = {}
     for half in (0, 1):  # two sets of bands, each 2 w wide, shifted by w
         band = (diag + half * width) // (2 * width)
-        order = np.lexsort((place, band, item))
-        bi, bb, bp = item[order], band[order], place[order]
-        new = np.concatenate([[True], (bi[1:] != bi[:-1]) | (bb[1:] != bb[:-1])])
+        order = np.lexsort((place, band, doc, item))
+        bi, bd, bb, bp = item[order], doc[order], band[order], place[order]
+        new = np.concatenate([[True], (bi[1:] != bi[:-1]) | (bd[1:] != bd[:-1]) | (bb[1:] != bb[:-1])])
         # each q-gram of the item counts once in a band
         fresh = new | np.concatenate([[True], bp[1:] != bp[:-1]])
         head = np.flatnonzero(new)
@@ -156,14 +159,15 @@ def find_in_run(index: QgramIndex, run: list[str]):
             one = order[head[g]]
             w = int(width[one])
             tail = head[g + 1] if g + 1 < len(head) else len(order)
-            mine = diag[order[head[g] : tail]] - len(f)
+            mine = diag[order[head[g] : tail]] - far
             most = int(mine.min() + np.bincount(mine - mine.min()).argmax())
-            regions.setdefault((int(item[one]), int(doc[one])), set()).add((int(bb[head[g]]) * 2 * w - half * w - len(f), most))
+            regions.setdefault((int(item[one]), int(doc[one])), set()).add((int(bb[head[g]]) * 2 * w - half * w - far, most))
     for (i, d), lows in sorted(regions.items()):
         m, e, w = len(index.texts[i]), index.edits[i], index.edits[i] + 1
         a, b = int(starts[d]), int(starts[d + 1]) - _GAP
         done = -1
         for low, most in sorted(lows):  # diagonals low .. low + 2 w - 1
+            low, most = low + int(starts[d]), most + int(starts[d])
             if most < done:
                 continue  # the other band of a passage that was found
             if a <= most and most + m <= b and np.array_equal(f[most : most + m], index.texts[i]):

@@ -231,3 +231,47 @@ def test_licences_are_named_and_lookalikes_left(spark):
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     found = license_scan.scan_paragraphs(docs, model).where("family not in ('none', 'unknown') and confirmed")
     assert {(r[0], r[1]) for r in lines.where(notice).select("doc_id", "paragraph").collect()} == {(r[0], r[1]) for r in found.select("doc_id", "paragraph").collect()}
+
+
+def _passages(index, texts):
+    """What is found in each text of one run."""
+    out = [[] for _ in texts]
+    for d, *rest in decontam.find_in_run(index, texts):
+        out[d].append(tuple(rest))
+    return [sorted(x) for x in out]
+
+
+def test_a_text_gives_the_same_passages_beside_any_others(words):
+    rng = words.rng
+    items = [(i, " ".join(words(rng.randint(8, 45)))) for i in range(12)]
+    index = decontam.QgramIndex(items, 10, 0.08)
+
+    def edited(t):
+        t = list(t)
+        for _ in range(rng.randint(0, max(1, len(t) // 20))):
+            at = rng.randrange(len(t))
+            t[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+        return "".join(t)
+
+    texts = []
+    for _ in range(150):
+        _, item = rng.choice(items)
+        texts.append(rng.choice([
+            lambda: " ".join(words(rng.randint(0, 30))),
+            lambda: " ".join(words(5)) + " " + edited(item) + " " + " ".join(words(5)),
+            lambda: edited(item),
+            lambda: " ".join(words(3)) + " " + item[:rng.randint(8, 14)],  # the text ends as a passage begins
+            lambda: item[-rng.randint(8, 30):] + " " + " ".join(words(3)),
+        ])())
+    alone = [_passages(index, [t])[0] for t in texts]
+    assert sum(map(bool, alone)) > 30
+    for _ in range(8):
+        order = rng.sample(range(len(texts)), len(texts))
+        assert _passages(index, [texts[i] for i in order]) == [alone[i] for i in order]
+
+
+def test_the_start_of_an_item_at_the_end_of_the_text_before(words):
+    item = " ".join(words(40))
+    index = decontam.QgramIndex([(1, item)], 10, 0.08)
+    found = _passages(index, ["some text " + item[:10], "before " + item + " after"])
+    assert found[0] == [] and [x[0] for x in found[1]] == [0]
