@@ -195,7 +195,8 @@ class Alignment:
         sizes = [np.array([len(t) for t in x.bytes_of], dtype=np.int64)[i] for x, i in zip((a, b), self.ids, strict=True)]
         self.over_bytes = [incidence(s) for s in sizes]
         ends = [m.ptr[1:] for m in self.over_bytes]
-        common = np.intersect1d(*ends)  # where tokens of both end
+        marks = [np.bincount(e, minlength=self.over_bytes[0].width + 1) > 0 for e in ends]
+        common = np.flatnonzero((marks[0] & marks[1])[1:]) + 1  # where tokens of both end
         self.n_groups_all = len(common)
         self.group = [np.searchsorted(common, e) for e in ends]
         self.doc = [np.repeat(np.arange(len(texts)), n) for n in self.n_tokens]
