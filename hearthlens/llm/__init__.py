@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators as Spark jobs.
+"""Training-data operators: thirteen corpus operators as Spark jobs.
 
 Nothing outside this package imports it; the registered queries live in
 ``queries.py``.
