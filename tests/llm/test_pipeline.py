@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registered_queries_and_contract():
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     q = entry.queries()
     assert set(queries.QUERIES) <= set(q) and q["pipeline"] is corpus_pipeline.run
     assert "pipeline" not in entry.oracle_sql() and set(queries.ORACLES) <= set(entry.oracle_sql())
