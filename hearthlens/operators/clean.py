@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthlens.functions.features import col_, nan_to_null, strip_all
+from hearthlens.session import cut_lineage
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -207,28 +208,55 @@ def fill_mode(df: DataFrame, cols: Sequence[str], default: str = "Unknown") -> D
 
 
 # C11 -----------------------------------------------------------------------
+def group_mode_lookup(df: DataFrame, target: str, levels: Sequence[Sequence[str]]) -> DataFrame:
+    """One row per group of the finest grain (all keys of all levels, nulls
+    included): the keys and ``__mode``, the mode of the first level that has
+    one; after the last level the mode of all rows.
+
+    Rows are counted once, at the finest grain (a hot group is combined before
+    the shuffle); wider levels roll those counts up.  Ties go to the smallest
+    value; a null key has no group at its level."""
+    grain = list(dict.fromkeys(c for ks in levels for c in ks))
+    counts = cut_lineage(df.groupBy(*grain, target).agg(F.count(F.lit(1)).alias("__n")))
+    known = counts.where(F.col(target).isNotNull())
+    best = F.min_by(target, F.struct((-F.col("__n")).alias("nn"), F.col(target)))
+
+    def rolled(ks):
+        return known.groupBy(*ks, target).agg(F.sum("__n").alias("__n"))
+
+    lookup = counts.select(*grain).distinct()
+    for i, ks in enumerate(levels):
+        lookup = lookup.join(rolled(ks).groupBy(*ks).agg(best.alias(f"__gm{i}")), list(ks), "left")
+    whole = rolled([]).agg(best.alias("m")).first()["m"]  # one value
+    return lookup.select(*grain, F.coalesce(*[F.col(f"__gm{i}") for i in range(len(levels))], F.lit(whole)).alias("__mode"))
+
+
 def fill_group_mode(df: DataFrame, target: str, keys: Sequence[str],
-                    fallbacks: Sequence[Sequence[str]] = (), out: str | None = None) -> DataFrame:
+                    fallbacks: Sequence[Sequence[str]] = (), out: str | None = None,
+                    broadcast_groups: int = 50_000, salts: int = 32) -> DataFrame:
     """Fill ``target`` with the mode of its group, then of wider groups, then global.
 
-    Group modes are two-level counts (value counts per group with map-side
-    partials, then an argmax per group -- ties to the smallest value) joined
-    back on the key.  The lookup tables have one row per key, they are not
-    broadcast by hint: AQE broadcasts them when their measured size is small.
-    """
+    One pass of counts gives a lookup by the finest group (``group_mode_lookup``)
+    and one null-safe join brings it back.  The lookup is written and counted:
+    up to ``broadcast_groups`` rows it is broadcast and the rows do not move;
+    a larger one is joined on the group and a salt, each lookup row standing
+    once per salt, so that a hot group is spread over ``salts`` tasks."""
     out = out or target
-    levels = [list(keys)] + [list(k) for k in fallbacks]
-    result = df
-    fill_cols = []
-    for i, ks in enumerate(levels):
-        name = f"__gm{i}"
-        counts = df.where(F.col(target).isNotNull()).groupBy(*ks, target).agg(F.count(F.lit(1)).alias("__n"))
-        lookup = counts.groupBy(*ks).agg(F.min_by(target, F.struct((-F.col("__n")).alias("nn"), F.col(target))).alias(name))
-        result = result.join(lookup, on=ks, how="left")
-        fill_cols.append(F.col(name))
-    glob = text_modes(df, [target])[target]
-    result = result.withColumn(out, F.coalesce(F.col(target), *fill_cols, F.lit(glob)))
-    return result.drop(*[f"__gm{i}" for i in range(len(levels))])
+    lookup = cut_lineage(group_mode_lookup(df, target, [list(keys), *map(list, fallbacks)]))
+    grain = [c for c in lookup.columns if c != "__mode"]
+    lookup = lookup.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(grain)], "__mode")
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(grain)]
+    columns = [c for c in df.columns if c != out]
+    if lookup.count() <= broadcast_groups:
+        lookup = F.broadcast(lookup)
+    else:
+        lookup = lookup.withColumn("__k_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        df = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+        same.append(F.col("__salt") == F.col("__k_salt"))
+    cond = same[0]
+    for s in same[1:]:
+        cond = cond & s
+    return df.join(lookup, cond, "left").select(*columns, F.coalesce(F.col(target), F.col("__mode")).alias(out))
 
 
 # C13 -----------------------------------------------------------------------

@@ -83,15 +83,54 @@ def zero_profile(df: DataFrame, cols: Sequence[str] | None = None, limit: float
 
 
 # Q05 / Q06 -----------------------------------------------------------------
+def _values_long(df: DataFrame, cols: Sequence[str], value) -> DataFrame:
+    """(column_name, v): one record per row and column, a narrow explode."""
+    recs = F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).cast("string").alias("v")) for c in cols])
+    return df.select(F.explode(recs).alias("r")).select("r.*")
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str], value=F.col) -> DataFrame:
+    """(column_name, n_distinct, rows), exact; nulls are no value.
+
+    Values are counted once as (column, value, n): partials combine before the
+    shuffle, so a hot value is one record per task whatever its rows, and the
+    row itself is never expanded per distinct set.  Columns of an empty table
+    have zeros."""
+    counts = _values_long(df, cols, value).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("column_name").agg(F.count("v").alias("n_distinct"), F.sum("n").alias("rows"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return names.join(per, "column_name", "left").select("column_name", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_distinct", "rows")])
+
+
+def distinct_sketches(df: DataFrame, cols: Sequence[str] | None = None, value=F.col, lg_k: int = 12) -> DataFrame:
+    """(column_name, rows, sketch): mergeable distinct counts (HyperLogLog of
+    2**lg_k registers, a relative error of about 1.04 / 2**(lg_k / 2)).
+
+    The table is state that can be stored; ``merge_sketches`` adds later data
+    without reading the earlier rows again."""
+    return (_values_long(df, list(cols or string_columns(df)), value).groupBy("column_name")
+            .agg(F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg("v", lg_k).alias("sketch")))
+
+
+def merge_sketches(first: DataFrame, *later: DataFrame) -> DataFrame:
+    """The sketch table of all parts together."""
+    for part in later:
+        first = first.unionByName(part)
+    return first.groupBy("column_name").agg(F.sum("rows").alias("rows"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    return sketches.select("column_name", F.hll_sketch_estimate("sketch").alias("n_distinct"), "rows")
+
+
 def cardinality_class(df: DataFrame, cols: Sequence[str] | None = None, high: int = 15,
                       id_share: float = 0.5, approx: bool = False) -> DataFrame:
     """Distinct values per text column -> 'id_like' / 'high' / 'normal'.
 
-    ``count_distinct`` is exact (one shuffle per distinct set); ``approx``
-    uses HyperLogLog++ for very wide / very large tables."""
+    Exact by counting (column, value) pairs; ``approx`` reads the same numbers
+    from HyperLogLog sketches, for very large tables."""
     cols = list(cols or string_columns(df))
-    dist = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(F.col(c)))
-    prof = _wide_to_long(df, {"n_distinct": dist, "rows": lambda c: F.count(F.lit(1))}, cols)
+    prof = sketched_counts(distinct_sketches(df, cols)) if approx else distinct_counts(df, cols)
     cls = (F.when(F.col("n_distinct") > F.col("rows") * id_share, "id_like")
             .when(F.col("n_distinct") > high, "high").otherwise("normal"))
     return prof.withColumn("cardinality_class", cls)
@@ -100,8 +139,8 @@ def cardinality_class(df: DataFrame, cols: Sequence[str] | None = None, high: in
 def cardinality_ci(df: DataFrame, cols: Sequence[str] | None = None, high: int = 15) -> DataFrame:
     """Distinct lower-cased values (null counted as the value 'nan')."""
     cols = list(cols or string_columns(df))
-    prof = _wide_to_long(df, {"distinct_ci": lambda c: F.count_distinct(F.coalesce(F.lower(c), F.lit("nan")))}, cols)
-    return prof.withColumn("many_values", F.col("distinct_ci") > high)
+    prof = distinct_counts(df, cols, lambda c: F.coalesce(F.lower(c), F.lit("nan")))
+    return prof.select("column_name", F.col("n_distinct").alias("distinct_ci"), (F.col("n_distinct") > high).alias("many_values"))
 
 
 # Q07 -----------------------------------------------------------------------

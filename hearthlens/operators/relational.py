@@ -254,12 +254,15 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # T03 / T04 -----------------------------------------------------------------
-def top_k_abs_per_row(long: DataFrame, row_keys: Sequence[str], value: str = "value", k: int = 3,
-                      feature: str = "feature") -> DataFrame:
-    """Top-k features by |value| per row (each window group = one row's
-    features: bounded by the feature count)."""
-    w = Window.partitionBy(*row_keys).orderBy(F.desc(F.abs(F.col(value))), F.asc(feature))
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def top_k_abs_per_row(df: DataFrame, row_keys: Sequence[str], features: Sequence[str], k: int = 3) -> DataFrame:
+    """Row keys, feature, value, rank: the k features of largest |value| of each
+    row, ties by name; nulls take no part.
+
+    The row's features are sorted inside an array, so nothing is shuffled."""
+    items = F.array(*[F.struct((-F.abs(F.col(c).cast("double"))).alias("s"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
+    best = F.slice(F.array_sort(F.filter(items, lambda x: x["value"].isNotNull())), 1, k)
+    return (df.select(*row_keys, F.posexplode(best).alias("at", "f"))
+            .select(*row_keys, F.col("f.feature").alias("feature"), F.col("f.value").alias("value"), (F.col("at") + 1).alias("rank")))
 
 
 def argmax_by_group(df: DataFrame, group: str, item: str, score: Column) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlens.operators import relational as R
+from hearthlens.session import cut_lineage
 
 
 # ---------------------------------------------------------------------------
@@ -359,17 +360,64 @@ def loading_rank(loadings: DataFrame, n_components: int) -> DataFrame:
     return s.withColumn("rank", F.rank().over(Window.orderBy(F.desc("abs_loading_sum"))))
 
 
-def variance_gain(df: DataFrame, cols: Sequence[str], cat: str, k: int = 5) -> DataFrame:
+def _leading(product, size: int, k: int) -> np.ndarray:
+    """The k largest eigenvalues of a symmetric matrix given by its product
+    with a vector (Lanczos steps, each made orthogonal to all before)."""
+    rng = np.random.default_rng(0)
+    q = [np.zeros(size), rng.standard_normal(size)]
+    q[1] /= np.linalg.norm(q[1])
+    alpha, beta, last = [], [0.0], None
+    for step in range(1, size + 1):
+        z = product(q[-1])
+        alpha.append(float(q[-1] @ z))
+        basis = np.array(q[1:])
+        for _ in range(2):
+            z = z - basis.T @ (basis @ z)
+        beta.append(float(np.linalg.norm(z)))
+        done = beta[-1] < 1e-12 or step == size
+        if done or step % 10 == 0:
+            t = np.diag(alpha) + np.diag(beta[1:step], 1) + np.diag(beta[1:step], -1)
+            top = np.sort(np.linalg.eigvalsh(t))[::-1][:k]
+            if done or (last is not None and len(top) == len(last) == k and np.max(np.abs(top - last)) < 1e-11 * max(1.0, abs(top[0]))):
+                return top
+            last = top
+        q.append(z / beta[-1])
+    return top
+
+
+def variance_gain(df: DataFrame, cols: Sequence[str], cat: str, k: int = 5, dense: int = 500) -> DataFrame:
     """Share of variance in the first k PCs without / with the one-hot
-    (first level dropped) encoding of ``cat``."""
-    levels = sorted(r[0] for r in df.select(cat).where(F.col(cat).isNotNull()).distinct().collect())
-    dummies = {f"{cat}__{i}": (F.col(cat) == F.lit(lv)).cast("double") for i, lv in enumerate(levels) if i > 0}
-    d = df.where(F.col(cat).isNotNull()).withColumns(dummies)
-    e1, _, f1 = pca(d, cols)
-    e2, _, f2 = pca(d, list(cols) + list(dummies))
-    w1, w2 = f1["eigen"], f2["eigen"]
-    without = float(w1[:k].sum() / w1.sum())
-    with_ = float(w2[:k].sum() / w2.sum())
+    (first level dropped) encoding of ``cat``.
+
+    No indicator column is made: the indicators' correlations follow from the
+    level counts, those with numeric columns from grouped sums.  A count and
+    p sums per level reach the driver; the indicators' block is a diagonal
+    less a rank-one matrix, so beyond ``dense`` columns the leading eigenvalues
+    come from products with vectors and no L x L matrix exists."""
+    cols = list(cols)
+    d = complete_rows(df, cols).where(F.col(cat).isNotNull())
+    n, means, cov = covariance_matrix(d, cols, complete=False)
+    sd = np.sqrt(np.diag(cov))
+    sd[sd == 0] = 1.0
+    R = cov / np.outer(sd, sd)
+    z = [F.sum((F.col(c).cast("double") - float(means[i])) / float(sd[i])).alias(f"z{i}") for i, c in enumerate(cols)]
+    got = sorted(d.groupBy(F.col(cat).alias("level")).agg(F.count(F.lit(1)).alias("n"), *z).collect(), key=lambda r: r["level"])[1:]
+    p = np.array([r["n"] for r in got]) / n
+    u = np.sqrt(p / (1 - p))
+    C = np.array([[r[f"z{i}"] for r in got] for i in range(len(cols))]).reshape(len(cols), len(got)) / n / np.sqrt(p * (1 - p))[None, :]
+    size = len(cols) + len(got)
+    if size <= dense:
+        whole = np.block([[R, C], [C.T, np.diag(1 / (1 - p)) - np.outer(u, u)]])
+        top = np.sort(np.linalg.eigvalsh(whole))[::-1][:k]
+    else:
+        def product(x):
+            a, b = x[: len(cols)], x[len(cols):]
+            return np.concatenate([R @ a + C @ b, C.T @ a + b / (1 - p) - u * (u @ b)])
+
+        top = _leading(product, size, k)
+    alone = np.sort(np.linalg.eigvalsh(R))[::-1]
+    without = float(alone[:k].sum() / alone.sum())
+    with_ = float(top.sum() / (alone.sum() + len(got)))
     return _long(df.sparkSession, [(cat, k, without, with_, with_ - without)],
                  "category string, k int, share_without double, share_with double, gain double")
 
@@ -412,11 +460,22 @@ def burt_table(df: DataFrame, cats: Sequence[str]) -> DataFrame:
     return pair_cells(df, [(a, b) for i, a in enumerate(cats) for b in cats[i:]])
 
 
-def mca(df: DataFrame, cats: Sequence[str], dims: int = 20):
+def _bounded_cells(df: DataFrame, cats: Sequence[str], most: int) -> list:
+    """Cells of the Burt table, after the categories were counted: more than
+    ``most`` of them are refused, since a matrix of their square is solved on
+    the driver."""
+    cells = cut_lineage(burt_table(df, cats))
+    j = cells.where((F.col("col_a") == F.col("col_b")) & (F.col("va") == F.col("vb"))).count()
+    if j > most:
+        raise ValueError(f"{j} categories in {list(cats)}; at most {most} are analysed together: group rare values first")
+    return cells.collect()
+
+
+def mca(df: DataFrame, cats: Sequence[str], dims: int = 20, most: int = 4000):
     """Multiple correspondence analysis from the Burt table: principal
     inertias and category coordinates.  Returns (inertia, coordinates)."""
     cats = list(cats)
-    cells = burt_table(df, cats).collect()  # J x J cells: bounded by the categories
+    cells = _bounded_cells(df, cats, most)
     labels = sorted({(r["col_a"], r["va"]) for r in cells} | {(r["col_b"], r["vb"]) for r in cells})
     idx = {l: i for i, l in enumerate(labels)}
     J, Q = len(labels), len(cats)
@@ -448,12 +507,13 @@ def mca(df: DataFrame, cats: Sequence[str], dims: int = 20):
 
 
 # A13 -----------------------------------------------------------------------
-def famd(df: DataFrame, nums: Sequence[str], cats: Sequence[str], dims: int = 30) -> DataFrame:
+def famd(df: DataFrame, nums: Sequence[str], cats: Sequence[str], dims: int = 30, most: int = 4000) -> DataFrame:
     """Factor analysis of mixed data: eigenvalues of the covariance of
     [z-scored numerics, centred indicators / sqrt(share)], assembled from
     moments, per-category numeric sums and the Burt table."""
     nums, cats = list(nums), list(cats)
     d = complete_rows(df, nums)
+    cells = _bounded_cells(d, cats, most)
     n, means, cov = covariance_matrix(d, nums, complete=False)
     sd = np.sqrt(np.diag(cov))
     sd[sd == 0] = 1.0
@@ -467,7 +527,6 @@ def famd(df: DataFrame, nums: Sequence[str], cats: Sequence[str], dims: int = 30
         for r in sorted(g, key=lambda r: r["v"]):
             levels.append((c, r["v"], r["n"]))
             zsum.append([r[f"z{i}"] for i in range(len(nums))])
-    cells = burt_table(d, cats).collect()
     li = {(c, v): i for i, (c, v, _) in enumerate(levels)}
     L = len(levels)
     P2 = np.zeros((L, L))

