@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -74,6 +75,52 @@ def test_fingerprints_follow_the_next_document(spark, words):
     assert got[1]["fingerprint"] == got[2]["fingerprint"] == ""
 
 
+def _members(fingerprint):
+    return {fingerprint[i : i + 8] for i in range(0, len(fingerprint), 8)}
+
+
+def _likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_likenesses_are_those_of_the_fingerprints(spark, words):
+    rng = random.Random(11)
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(60)] + [-5, 0, 1]
+    texts = [" ".join(rng.choice(["the", "of", "und"]) if rng.random() < 0.3 else w for w in words(rng.randrange(1, 90))) for _ in ids]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in spotsigs.compare_with_edits(df).collect()}
+    order = sorted(ids, reverse=True)
+    for k, i in enumerate(order):
+        own, nxt = _members(got[i]["fingerprint"]), _members(got[order[(k + 1) % len(order)]]["fingerprint"])
+        assert own and got[i]["near_edited"] == pytest.approx(_likeness(own, _members(got[i]["edited_fingerprint"])))
+        assert got[i]["near_next"] == pytest.approx(_likeness(own, nxt))
+    alone = {r["doc_id"]: r["fingerprint"] for i, t in list(zip(ids, texts))[:5] for r in spotsigs.compare_with_edits(spark.createDataFrame([(i, t)], "doc_id long, text string")).collect()}
+    assert all(got[i]["fingerprint"] == f for i, f in alone.items())
+
+
+@pytest.mark.parametrize("most", [100_000, 3, 2])
+def test_next_key_at_any_number_of_levels(spark, most):
+    rng = random.Random(4)
+    keys = sorted({rng.randrange(-(1 << 53), 1 << 53) for _ in range(40)} | {0, 1, 2, 1023, 1024, -1}, reverse=True)
+    got = {r["bucket"]: r["after"] for r in spotsigs._next_key(spark.createDataFrame([(k,) for k in keys], "bucket long"), most).collect()}
+    assert got == {k: keys[(i + 1) % len(keys)] for i, k in enumerate(keys)}
+
+
+@pytest.mark.parametrize("spots", [0, 2, 7, 8, 9, 30])
+def test_one_changed_word_moves_the_likeness_a_little(spark, words, spots):
+    """The same rule with few and many anchors."""
+    w = words(80 + 2 * spots)
+    for i in range(spots):
+        w.insert(3 * i + 1, "the")
+    rows = []
+    for i in range(0, len(w), 7):
+        rows.append((" ".join(w), " ".join([*w[:i], "zzzq", *w[i + 1 :]])))
+    df = spark.createDataFrame(rows, "a string, b string")
+    df = spotsigs.with_signatures(spotsigs.with_signatures(df, "a", "x"), "b", "y")
+    got = [r[0] for r in df.select(spotsigs.jaccard(F.col("x"), F.col("y"))).collect()]
+    assert min(got) >= 0.6 and sum(got) / len(got) >= 0.85
+
+
 def test_fingerprint_chains_and_pruning(spark):
     df = spark.createDataFrame([("the old man and the sea is deep",)], "t string")
     got = df.select(F.regexp_extract_all("t", F.lit(spotsigs.spot_pattern(2)), F.lit(1)).alias("s")).first()["s"]
