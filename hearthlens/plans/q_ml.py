@@ -42,7 +42,7 @@ def _train_val(frame):
 #: the reference's sizes: upper limits, 50 rounds without gain end the loop
 REGRESSOR = BoostParams(rounds=1500, depth=8, step=0.08, min_leaf=100, row_share=0.9, column_share=0.8, max_bins=MD.MAX_BINS)
 CLASSIFIER = BoostParams(rounds=800, depth=7, step=0.08, min_leaf=100, row_share=0.85, column_share=0.8, max_bins=MD.MAX_BINS, loss="logistic", min_gain=0.01)
-FOREST = ForestParams(max_bins=MD.MAX_BINS)
+FOREST = ForestParams(trees=60, bags=4, max_bins=MD.MAX_BINS)
 ALTERNATIVE = BoostParams(rounds=1000, depth=6, step=0.05, min_leaf=10, row_share=0.8, column_share=0.8, max_bins=MD.MAX_BINS)
 
 
