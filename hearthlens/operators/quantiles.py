@@ -48,16 +48,17 @@ def _number(c: Column) -> Column:
     return F.when(F.isnan(v), F.lit(None)).otherwise(v + F.lit(0.0))  # -0.0 is 0.0
 
 
-def _bracket(sketch: Column, t: Column, p: float) -> Column:
+def _bracket(sketch: Column, t: Column, p: float, finer: int = 1) -> Column:
     """(lo, hi) around rank p (t - 1); infinite at the ends and in small groups.
     The sketch takes constant ranks only: beyond SMALL rows p is off by under
-    2 / SMALL."""
-    low, high = p - MARGIN - 2 / SMALL, p + MARGIN + 2 / SMALL
+    2 / SMALL.  ``finer``: how many times larger the sketch and SMALL are."""
+    small = SMALL * finer
+    low, high = p - MARGIN * finer**-0.9723 - 2 / small, p + MARGIN * finer**-0.9723 + 2 / small
 
     def at(rank: float, end: float) -> Column:
         if not 0 < rank < 1:
             return F.lit(end)
-        return F.when(t > SMALL, F.kll_sketch_get_quantile_double(sketch, F.lit(rank))).otherwise(F.lit(end))
+        return F.when(t > small, F.kll_sketch_get_quantile_double(sketch, F.lit(rank))).otherwise(F.lit(end))
 
     return F.struct(at(low, float("-inf")).alias("lo"), at(high, float("inf")).alias("hi"))
 
@@ -123,30 +124,60 @@ def quantile_frame(df: DataFrame, groups: Sequence[str], value: str, probs: Sequ
     return wide.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], F.array(*(F.col(f"__q{i}") for i in range(len(probs)))).alias("q"))
 
 
+def _below(v: Column, ends: Sequence[float], strict: bool) -> Column:
+    """How many of the ascending ``ends`` are below v (``strict``) or at most
+    v: a tree of comparisons, as deep as the logarithm of their number."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        e = F.lit(ends[mid])
+        return F.when(v > e if strict else v >= e, tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(ends))
+
+
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict:
     """Exact quantiles of many columns in two passes over their projection:
-    sketches of all columns in one aggregate (a row), then the values inside
-    the brackets, which are literals.  One row per column and prob is collected."""
+    sketches of all columns in one aggregate (a row), then one aggregate that
+    counts the values inside the brackets and the rows between them.  The
+    brackets are literals.  One row per column and prob is collected.
+
+    Sketches grow with the number of probs, so that many brackets together
+    still hold few of the rows."""
     cols = list(dict.fromkeys(cols))
     if not cols:
         return {}
     names = [f"__c{i}" for i in range(len(cols))]
+    asked = sorted(set(probs))
+    finer = max(1, len(asked) // 5)
     narrow = cut_lineage(df.select(*(_number(F.col(c)).alias(n) for c, n in zip(cols, names))))
     spark = df.sparkSession
-    sketched = narrow.agg(*(F.count(n).alias(f"t{n}") for n in names), *(F.kll_sketch_agg_double(n, SKETCH).alias(f"k{n}") for n in names)).first()
+    size = min(SKETCH * finer, 65535)
+    sketched = narrow.agg(*(F.count(n).alias(f"t{n}") for n in names), *(F.kll_sketch_agg_double(n, size).alias(f"k{n}") for n in names)).first()
     some = [(i, n) for i, n in enumerate(names) if sketched[f"t{n}"]]
     if not some:
         return {c: [None] * len(probs) for c in cols}
     each = spark.createDataFrame([(i, int(sketched[f"t{n}"]), sketched[f"k{n}"]) for i, n in some], "__g0 int, __t long, k binary")
-    found = {r[0]: r[1] for r in each.select("__g0", F.array(*(_bracket(F.col("k"), F.col("__t"), p) for p in probs))).collect()}
-    long = narrow.select(F.explode(F.array(*(F.struct(F.lit(i).alias("__g0"), F.col(n).alias("__v")) for i, n in some))).alias("x")).select("x.*").where("__v is not null")
-    known = F.array(*(F.array(*(F.struct(F.lit(b["lo"]).alias("lo"), F.lit(b["hi"]).alias("hi")) for b in found.get(i, [{"lo": 0.0, "hi": 0.0}] * len(probs)))) for i in range(len(names))))
-    mine = long.withColumn("__br", F.element_at(known, F.col("__g0") + 1))
-    pieces = _inside(F.col("__v"), [(F.col("__br")[j]["lo"], F.col("__br")[j]["hi"]) for j in range(len(probs))], F.col("__g0"))
-    counts = cut_lineage(mine.select(F.explode(pieces).alias("x")).where("x is not null").select("x.*").groupBy("__g0", "__i", "__v").agg(F.count("*").alias("__n")))
+    found = {r[0]: r[1] for r in each.select("__g0", F.array(*(_bracket(F.col("k"), F.col("__t"), p, size // SKETCH) for p in asked))).collect()}
+
+    def placed(i: int, n: str) -> Column:
+        """The value's place: it is above ``a`` brackets and not below ``b``, so inside a .. b - 1."""
+        v = F.col(n)
+        los = [min(x["lo"] for x in found[i][j:]) for j in range(len(asked))]
+        his = [max(x["hi"] for x in found[i][:j + 1]) for j in range(len(asked))]
+        return F.struct(F.lit(i).alias("__g0"), v.alias("__v"), _below(v, his, True).alias("a"), _below(v, los, False).alias("b"))
+
+    long = narrow.select(F.explode(F.array(*(placed(i, n) for i, n in some))).alias("x")).select("x.*").where("__v is not null")
+    # rows in no bracket are counted by place alone
+    cells = cut_lineage(long.groupBy("__g0", "a", "b", F.when(F.col("b") > F.col("a"), F.col("__v")).alias("__v")).agg(F.count("*").alias("__n")))
+    inside = cells.where("b > a").select("__g0", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("__i"), "__v", "__n")
+    under = cells.groupBy("__g0", "b").agg(F.sum("__n").alias("__n")).where(F.col("b") < len(asked))
+    under = under.select("__g0", F.explode(F.sequence(F.col("b"), F.lit(len(asked) - 1))).alias("__i"), "__n").groupBy("__g0", "__i").agg(F.sum("__n").alias("__n"))
+    counts = inside.unionByName(under.withColumn("__v", F.lit(None).cast("double")))
     totals = each.select("__g0", "__t")
-    res = {(r["__g0"], r["__i"]): r["__q"] for r in _chosen(counts, long, ["__g0"], totals, probs).collect()}
-    return {c: [res.get((i, j)) for j in range(len(probs))] for i, c in enumerate(cols)}
+    res = {(r["__g0"], r["__i"]): r["__q"] for r in _chosen(counts, long.select("__g0", "__v"), ["__g0"], totals, asked).collect()}
+    return {c: [res.get((i, asked.index(p))) for p in probs] for i, c in enumerate(cols)}
 
 
 def group_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],

@@ -554,6 +554,7 @@ def qq_points(df: DataFrame, value: str, points: int = 99) -> DataFrame:
     from hearthlens.operators.quantiles import column_quantiles
 
     probs = [(i + 0.5) / points for i in range(points)]
+    df = cut_lineage(df.select(value))
     row = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
     quantiles = column_quantiles(df, [value], probs)[value]
     nd = NormalDist()

@@ -34,8 +34,9 @@ MAX_BINS = 64  # >= the largest category count of the encoded columns
 
 def model_frame(spark: SparkSession, sf: str, checkpoint: bool = True) -> DataFrame:
     """Clean table + label (log1p rating) + split + fold, checkpointed."""
-    S.require_no_leakage(common.clean(spark, sf).select(*CAT_FEATURES, *NUM_FEATURES), FORBIDDEN)
-    cl = C.coerce_numeric(common.clean(spark, sf), ["DeclaredLossFactor"])
+    clean = common.clean(spark, sf)  # its fills are fitted by jobs: once a frame
+    S.require_no_leakage(clean.select(*CAT_FEATURES, *NUM_FEATURES), FORBIDDEN)
+    cl = C.coerce_numeric(clean, ["DeclaredLossFactor"])
     d = cl.select(*DWELLING_KEY, "CountyName", "BerRating", "is_retrofitted", *CAT_FEATURES,
                   *[F.col(c).cast("double").alias(c) for c in NUM_FEATURES])
     d = d.withColumns({"label": fx.log1p_target("BerRating"), "split": ml.split_label(DWELLING_KEY),

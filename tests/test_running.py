@@ -81,6 +81,19 @@ def test_quantiles_when_a_sketch_misses_or_brackets_are_full(big, monkeypatch):
     same()
 
 
+def test_many_quantiles_count_few_values(big, monkeypatch):
+    probs = [(i + 0.5) / 99 for i in range(99)][::-1]
+    ref = big.agg(F.percentile("v", F.array(*map(F.lit, probs)))).first()[0]
+    chosen, sizes = Q._chosen, []
+    monkeypatch.setattr(Q, "_chosen", lambda counts, *a: sizes.append(counts.count()) or chosen(counts, *a))
+    assert Q.column_quantiles(big, ["v"], probs)["v"] == pytest.approx(ref, rel=1e-12)
+    assert sizes[0] < N / 4  # the brackets of 99 ranks do not cover the column
+    two = big.where("id < 300").select("v", F.when(F.col("id") % 2 == 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))).alias("w"))
+    got = Q.column_quantiles(two, ["v", "w"], [0.9, 0.1, 0.9])
+    assert got["v"] == pytest.approx(two.agg(F.percentile("v", F.array(F.lit(0.9), F.lit(0.1), F.lit(0.9)))).first()[0], rel=1e-12)
+    assert got["w"] == [float("inf"), float("-inf"), float("inf")]
+
+
 def test_column_quantiles_of_odd_columns(spark):
     df = spark.createDataFrame([(1.0, None, 5, float("nan")), (3.0, None, 5, -0.0), (None, None, 7, 0.0)], "a double, b double, c int, d double")
     got = Q.column_quantiles(df, ["a", "b", "c", "d"], [0.0, 0.5, 0.9])
