@@ -84,8 +84,10 @@ def sink_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "o
     return path
 
 
-def sink_delimited(df: DataFrame, path: str, sep: str = "\t", encoding: str = "ISO-8859-1") -> str:
-    (df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding)
+def sink_delimited(df: DataFrame, path: str, sep: str = "\t", encoding: str = "ISO-8859-1", compression: str = "gzip") -> str:
+    """Delimited text.  Compressed files are read by one task each; a writing
+    task makes one file, so they stay as small as its partition."""
+    (df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding).option("compression", compression)
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
