@@ -40,3 +40,78 @@ def test_model_frame_is_kept_without_derived_columns(spark):
     plain = MD.model_frame(spark, "/root/testdata/sf0.01", checkpoint=False)
     assert frame.columns == plain.columns
     assert frame.exceptAll(plain).count() == 0 and frame.count() == plain.count()
+
+
+def _brute(row, paths, p):
+    """Shapley values over all coalitions of the path-dependent game."""
+    import itertools
+    import math
+
+    def value(known, path):
+        out = path["w"] * path["value"]
+        for feat, kind, arg, left, frac in path["conds"]:
+            met = (row[feat] <= arg if kind == "num" else row[feat] in arg) == left
+            out *= float(met) if feat in known else frac
+        return out
+
+    phi = [0.0] * p
+    for path in paths:
+        feats = sorted({c[0] for c in path["conds"]})
+        k = len(feats)
+        for f in feats:
+            rest = [x for x in feats if x != f]
+            for r in range(k):
+                for s in itertools.combinations(rest, r):
+                    phi[f] += math.factorial(r) * math.factorial(k - r - 1) / math.factorial(k) * (value({*s, f}, path) - value({*s}, path))
+    return phi
+
+
+def test_tree_shap_looks_up_the_cases_of_a_path(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from hearthlens.operators import attribution as AT
+
+    rng = random.Random(4)
+    conds = [(0, "num", 0.5, True, 0.3), (1, "cat", (0.0, 2.0), True, 0.6), (0, "num", 0.2, False, 0.4), (2, "num", 0.7, False, 0.5)]
+    paths = [{"w": 0.1, "value": 3.0, "cover": 0.1, "conds": conds}, {"w": 1.0, "value": -2.0, "cover": 0.1, "conds": conds[1:2]}, {"w": 1.0, "value": 5.0, "cover": 1.0, "conds": []}]
+    X = np.array([[rng.random(), rng.choice([-1.0, 0.0, 1.0, 2.0, 1.5]), rng.random()] for _ in range(200)])
+    model = {"paths": paths, "expected": 0.0}
+    model["tables"] = AT.path_tables(model)
+    shares, widest = AT._shares, []
+    monkeypatch.setattr(AT, "_shares", lambda z, o, s: widest.append(o.shape[1]) or shares(z, o, s))
+    got = AT.shap_batch(X, model, 3)
+    assert not widest  # nothing is worked out for the rows of a batch
+    assert np.allclose(got, [_brute(r, paths, 3) for r in X])
+    # the same bits as by rows
+    monkeypatch.setattr(AT, "TABLE_FEATURES", 0)
+    assert (AT.shap_batch(X, {"paths": paths, "expected": 0.0}, 3) == got).all() and 200 in widest
+
+
+def test_shap_values_pass_keys_through(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from hearthlens.operators import attribution as AT
+
+    df = spark.createDataFrame([(2**60 + 1, "a", 0.1, 0.2), (None, None, float("nan"), 0.9)], "k long, t string, x double, y double")
+    v = VectorAssembler(inputCols=["x", "y"], outputCol="features", handleInvalid="keep").transform(df)
+    model = {"paths": [{"w": 1.0, "value": 2.0, "cover": 0.5, "conds": [(0, "num", 0.0, True, 0.25)]}], "expected": 0.5}
+    rows = {r["k"]: r for r in AT.shap_values(v, "features", model, 2, ["k", "t"]).collect()}
+    assert rows[2**60 + 1]["shap"] == [-0.5, 0.0] and rows[2**60 + 1]["t"] == "a"  # x > 0: not met
+    assert rows[None]["shap"] == [1.5, 0.0] and rows[None]["t"] is None and rows[None]["base_value"] == 0.5  # null as -1: met
+
+
+def test_dense_deltas_equal_the_expressions_and_sort_no_structs(spark):
+    from hearthlens.operators import attribution as AT
+
+    names = ["y", "x", "z", "Z", "w"]
+    v = lambda s: F.array(*((F.pmod(F.xxhash64("id", F.lit(s), F.lit(i)), F.lit(4)) / 3.0) for i in range(5)))
+    df = spark.range(500).select("id", F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("t"), v(1).alias("b"), F.when(F.col("id") % 7 > 0, v(2)).alias("a"))
+    df = df.unionByName(spark.range(1).select("id", F.lit(None).cast("string").alias("t"), F.array(*[F.lit(0.5)] * 5).alias("b"), F.array(*[F.lit(0.5)] * 5).alias("a")))
+    for top in (None, 3):
+        want, got = (AT.delta_long(df, ["id", "t"], "b", "a", names, top, dense=d) for d in (False, True))
+        assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "sort_array" not in plan and "MapInArrow" in plan
