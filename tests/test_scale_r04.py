@@ -115,3 +115,15 @@ def test_dense_deltas_equal_the_expressions_and_sort_no_structs(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "sort_array" not in plan and "MapInArrow" in plan
+
+
+def test_forest_has_the_references_size(spark, monkeypatch):
+    from hearthlens.operators import forest as FO
+    from hearthlens.plans import q_ml
+
+    p = q_ml.FOREST
+    assert (p.trees, p.depth, p.min_leaf) == (300, 20, 10) and p.bags == 10
+    seen, fit = [], FO.RandomForestRegressor.fit
+    monkeypatch.setattr(FO.RandomForestRegressor, "fit", lambda self, df: seen.append((self.getNumTrees(), self.getMaxDepth())) or fit(self.copy({self.numTrees: 1, self.maxDepth: 2}), df))
+    q_ml.forest_regressor(spark, "/root/testdata/sf0.001")
+    assert seen == [(30, 20)] * 10
