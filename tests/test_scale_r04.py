@@ -127,3 +127,50 @@ def test_forest_has_the_references_size(spark, monkeypatch):
     monkeypatch.setattr(FO.RandomForestRegressor, "fit", lambda self, df: seen.append((self.getNumTrees(), self.getMaxDepth())) or fit(self.copy({self.numTrees: 1, self.maxDepth: 2}), df))
     q_ml.forest_regressor(spark, "/root/testdata/sf0.001")
     assert seen == [(30, 20)] * 10
+
+
+def test_search_draws_the_references_space(spark):
+    import inspect
+
+    from hearthlens.plans import q_ml
+
+    default = {k: v.default for k, v in inspect.signature(q_ml.random_search).parameters.items()}
+    assert (default["draws"], default["folds"]) == (20, 2) and default["space"] is q_ml.SEARCH
+    assert len(q_ml.SEARCH) == 9 and q_ml.SEARCH["rounds"] == [500, 800, 1000, 1500]
+    small = {k: v[:2] for k, v in q_ml.SEARCH.items()} | {"rounds": [2], "depth": [-1], "leaves": [3, 5]}
+    rows = q_ml.random_search(spark, "/root/testdata/sf0.001", draws=2, space=small).collect()
+    assert len(rows) == 2 and sum(r["refit_r2"] is not None for r in rows) == 1
+    assert all(r["cv_r2"] < 0.5 and r["rounds"] == 2 for r in rows)
+
+
+def test_leaves_and_shrinkage(spark):
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+
+    from hearthlens.operators import boosting as B
+
+    data = [(i, float(i % 10), float(i % 3), float((i % 10) ** 2 + 5 * (i % 3)), "train") for i in range(300)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(data, "i long, a double, b double, label double, role string")).withColumn("row_hash", F.xxhash64("i"))
+    plain = dict(rounds=2, depth=6, step=1.0, min_leaf=1, row_share=1.0, column_share=1.0, patience=None, max_bins=32)
+    leaves = [B.boost(df, B.BoostParams(**plain, leaves=n)).model.trees[1].numNodes for n in (2, 4, 7)]
+    assert leaves == [3, 7, 13]
+    one = B.boost(df, B.BoostParams(**plain | {"depth": 1}, l1=30.0, l2=10.0)).model.trees[1]
+    y = np.array([r[3] for r in data]) - np.mean([r[3] for r in data])
+    a = np.array([r[1] for r in data])
+    found = [(sum((np.sign(s) * max(abs(s) - 30, 0)) ** 2 / (n + 10) for s, n in ((y[a <= t].sum(), (a <= t).sum()), (y[a > t].sum(), (a > t).sum()))), t) for t in range(9)]
+    t = max(found)[1]
+    want = [np.sign(s) * max(abs(s) - 30, 0) / (n + 10) for s, n in ((y[a <= t].sum(), (a <= t).sum()), (y[a > t].sum(), (a > t).sum()))]
+    scored = one.setFeaturesCol("features").transform(df).select("a", "prediction").distinct().collect()
+    assert all(abs(r["prediction"] - want[int(r["a"] > t)]) < 1e-9 for r in scored)
+
+
+def test_draws_and_bounds_equal_sparks(spark):
+    import numpy as np
+
+    from hearthlens.operators import boosting as B
+    from hearthlens.operators import histogram as HG
+
+    rows = spark.range(2000).withColumn("row_hash", F.xxhash64("id")).select(F.xxhash64("row_hash").alias("h"), B.row_draw("row_hash", 7, 0.4, 42).alias("d")).collect()
+    assert (HG.drawn(np.array([r["h"] for r in rows], np.int64), 7, 0.4, 42) == np.array([r["d"] for r in rows])).all()
+    assert list(HG.bounds(np.array([1.0, 3.0, 1.0, 2.0]), np.ones(4), 31)) == [1.5, 2.5]
+    assert len(HG.bounds(np.arange(1000.0), np.ones(1000), 31)) == 31
